@@ -69,7 +69,7 @@ def _parts(text: str, limit: int) -> Iterator[bytes]:
         yield text[i : i + limit].encode()
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", part_chars: int = 4096, level: int = 3, min_margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", part_chars: int = 4096, level: int = 3, min_margin: float = 0.003) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` (columns of these names are replaced)."""
     langs = list(dictionaries)
     new = ["lang_pred", "score", "rejected"]
