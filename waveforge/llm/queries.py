@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, language_id, packing, quality_rules, sstable, token_counts
+from . import bpe_tree, jaccard_join, language_id, packing, quality_rules, sstable, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = quality_rules.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return checked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,5 +47,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_string_table, op4_language_id, op5_token_counts, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op2_sorted_string_table, op4_language_id, op5_token_counts, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
 ORACLE_SQL: dict[str, str] = {}
