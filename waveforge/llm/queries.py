@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, jaccard_join, language_id, packing, quality_rules, sstable, token_counts
+from . import bpe_tree, embedding_dedup, jaccard_join, language_id, packing, quality_rules, sstable, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return sstable.read_shards(spark, manifest)
@@ -47,5 +51,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_string_table, op4_language_id, op5_token_counts, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op4_language_id, op5_token_counts, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
 ORACLE_SQL: dict[str, str] = {}
