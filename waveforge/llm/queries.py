@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, embedding_dedup, jaccard_join, language_id, packing, quality_rules, sstable, token_counts
+from . import bpe_tree, embedding_dedup, jaccard_join, language_id, license_scan, packing, quality_rules, sstable, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=75)
 
@@ -51,5 +55,5 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op4_language_id, op5_token_counts, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op4_language_id, op5_token_counts, op6_license_scan, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
