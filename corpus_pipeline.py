@@ -1,13 +1,68 @@
-"""From raw documents to packed sequences: language ID, quality rules, n-gram Jaccard join, substring dedup, best-fit packing."""
+"""From raw documents to packed token sequences.
+
+language ID -> quality rules -> n-gram Jaccard join -> substring dedup -> best-fit packing.
+Each stage works on all that the one before kept; its result is written as
+Parquet and read again, so a lost executor never costs more than one stage.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waveforge.llm import jaccard_join, language_id, packing, quality_rules, substring_dedup
+from waveforge.llm.shared import materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or with no clear language go."""
+    dictionaries = language_id.train_dictionaries(docs.where(~language_id.held_out()))
+    return language_id.identify(docs, dictionaries).where(~F.col("rejected")).select(*docs.columns)
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go from the texts; documents that fail, or lose too much, go."""
+    checked = quality_rules.quality(docs).select(*docs.columns, "clean_text", "kept")
+    # written before the filter, which would otherwise be moved below the rules and repeat them
+    kept = materialize(checked, "cleaned").where("kept")
+    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest id stays."""
+    return jaccard_join.keep_one(docs, k=5, percent=75)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go from the later ones; documents without a word left go."""
+    found = materialize(substring_dedup.passages(docs), "passages")
+    left = substring_dedup.remove_passages(docs, found)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, placed in as few sequences as the packing can."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", clean_lines),
+    ("jaccard_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL cannot express compression or tokenizing; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
