@@ -20,13 +20,18 @@ more blocks.
 **Shuffle.**  Keys travel packed: a task sorts them by bucket and emits one row of
 13 bytes a key for each bucket and batch, so 100 million keys are some ten thousand rows.
 
-**Candidates.**  Documents with the same set of shingles are one node.  Keys of few
-nodes give all pairs; keys of many give links from the first node and along the
-order, and are kept: where components are still apart after these have been
-verified, pairs across components are tried too, if the bit sketches allow them.
-Keys of over ``HOT`` nodes are only tried for nodes whose slack they exceed.
-So a group of thousands of near copies costs a few links a member, and no link
-that would join two components is lost.
+**Candidates.**  Documents with the same set of shingles are one node.  By the
+same argument a linked pair shares not one key but slack + 1 of them, less those
+that are *hot*, held by over ``HOT`` nodes; keys of up to ``ALL_PAIRS_UP_TO`` nodes
+give all pairs with counts, and pairs of too few shared keys go.  Keys of up to
+``HOT`` nodes give links from the first node and along the order, and are kept: where
+their nodes are in several components after these have been verified, pairs across
+components are tried too.  Hot keys are tried only for *tight* nodes, those with
+more hot keys than slack: first the key's first tight node against all others,
+then pairs across components.  Every other linked pair shares a key that is not hot.
+The bit sketches rule most pairs out before any set is moved.  So a group of
+thousands of near copies costs a few links a member, and no link that would join
+two components is lost.
 
 **Verification** is exact: the intersection of the full sorted shingle sets.
 
@@ -59,6 +64,7 @@ DENSITY = 0.55  # blocks for each shingle of a band's largest document
 SLACK = 0.1  # further keys, as a share of the size
 ALL_PAIRS_UP_TO = 6
 HOT = 32
+ENOUGH = 1 << 20  # stands for the shared keys of a pair that is to be verified in any case
 SKETCH_WORDS = 8
 
 
@@ -154,7 +160,7 @@ def _packed_keys(docs: DataFrame, k: int, percent: int, density: float, buckets:
 
 
 def _candidates(packed: DataFrame) -> DataFrame:
-    """``a, b`` for pairs and ``nodes`` for the members of keys that more than ALL_PAIRS_UP_TO nodes have."""
+    """``a, b, shared`` for pairs and the keys they share; ``nodes, shared`` for keys that over ALL_PAIRS_UP_TO nodes have."""
 
     def of_bucket(keys: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
         raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
@@ -167,20 +173,25 @@ def _candidates(packed: DataFrame) -> DataFrame:
         key, node = key[new], node[new]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
-        pairs, lists = [], {}
+        pairs, near, lists = [], [], {}
         for size in range(2, ALL_PAIRS_UP_TO + 1):
             at = starts[sizes == size]
             for i in range(size if len(at) else 0):
                 pairs += [np.stack((node[at + i], node[at + j])) for j in range(i + 1, size)]
         for start, size in zip(*(x[sizes > ALL_PAIRS_UP_TO].tolist() for x in (starts, sizes)), strict=True):
             members = node[start : start + size]
-            lists[members.tobytes()] = members
-            pairs += [np.stack((np.full(size - 1, members[0]), members[1:])), np.stack((members[:-1], members[1:]))]
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
+            name = members.tobytes()
+            lists[name] = (members, lists.get(name, (None, 0))[1] + 1)
+            if size <= HOT:
+                near += [np.stack((np.full(size - 1, members[0]), members[1:])), np.stack((members[:-1], members[1:]))]
+        few, shared = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True) if pairs else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
+        some = np.unique(np.concatenate(near, axis=1), axis=1) if near else np.empty((2, 0), np.int64)
+        both, count = np.concatenate((few, some), axis=1), np.concatenate((shared, np.full(some.shape[1], ENOUGH)))
         n, m = both.shape[1], len(lists)
-        held = pa.array([None] * n + [x.tolist() for x in lists.values()], pa.list_(pa.int64()))
+        held = pa.array([None] * n + [x.tolist() for x, _ in lists.values()], pa.list_(pa.int64()))
         ends = [pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int64())]) for x in both]
-        return pa.RecordBatch.from_arrays([*ends, held], names=["a", "b", "nodes"])
+        count = pa.array(np.concatenate((count, [t for _, t in lists.values()])).astype(np.int64))
+        return pa.RecordBatch.from_arrays([*ends, count, held], names=["a", "b", "shared", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, nodes = None, [], []
@@ -196,14 +207,29 @@ def _candidates(packed: DataFrame) -> DataFrame:
             yield of_bucket(keys, nodes)
 
     n = partitions(packed.sparkSession)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, nodes array<long>")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, nodes array<long>")
+
+
+def _distance() -> Column:
+    """Hamming distance of a pair's bit sketches: a lower bound of the symmetric difference."""
+    return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
 def _may_link(percent: int) -> Column:
     """Sizes and bit sketches of a pair allow the similarity: 100 |A and B| >= percent |A or B|."""
-    distance = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
     sizes = F.col("n") + F.col("m")
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (distance * (100 + percent) <= (100 - percent) * sizes)
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (_distance() * (100 + percent) <= (100 - percent) * sizes)
+
+
+def _packed_set(one: np.ndarray) -> bytes:
+    """The upper 40 bits of a set's sorted hashes: two of a pair's n and m shingles agree by chance with probability n m / 2^40."""
+    return np.ascontiguousarray(one.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -234,38 +260,66 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
         if sigs.where("slack < 0").isEmpty():
             break
         density *= 1.5
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(x).alias(x) for x in ("n", "slack", *(f"s{i}" for i in range(SKETCH_WORDS)))))
-    nodes = materialize(nodes, "nodes")
-
     found = materialize(_candidates(_packed_keys(docs, k, percent, density, 8 * partitions(spark), text_col)), "candidates")
-    pairs = found.where("a is not null").select("a", "b").distinct()
-    lists = found.where("nodes is not null").select(F.xxhash64("nodes").alias("list"), "nodes").dropDuplicates(["list"])
-
-    left = nodes.select(F.col("node").alias("a"), "n", *(f"s{i}" for i in range(SKETCH_WORDS)))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH_WORDS)))
-    pairs = materialize(pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b"), "pairs")
+    lists = found.where("nodes is not null").groupBy(F.xxhash64("nodes").alias("list")).agg(F.first("nodes").alias("nodes"), F.sum("shared").alias("keys"))
+    members = lists.select(F.explode("nodes").alias("node"), "list", "keys", F.size("nodes").alias("size"))
+    hot = members.where(F.col("size") > HOT).groupBy("node").agg(F.sum("keys").alias("held"))
+    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(x).alias(x) for x in ("n", "slack", *sketch)))
+    nodes = nodes.join(hot, "node", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("tight", F.col("held") > F.col("slack"))
+    nodes = materialize(nodes, "nodes")
 
-    # the members of kept keys, too: their sets may be asked for in the second round
-    members = lists.select(F.explode("nodes").alias("node"), "list", F.size("nodes").alias("size"))
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    # a linked pair shares slack + 1 keys; some may be among the hot keys of either, and keys of more nodes are tried below
+    left = nodes.select(F.col("node").alias("a"), "n", "slack", "held", *sketch)
+    renamed = {"node": "b", "n": "m", "slack": "slack2", "held": "held2", "tight": "tight2", **{f"s{i}": f"t{i}" for i in range(SKETCH_WORDS)}}
+    right = nodes.drop("doc").withColumnsRenamed(renamed)
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    least = F.greatest(F.lit(1), F.least("slack", "slack2") + 1 - F.least("held", "held2"))
+    pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"))
+    pairs = materialize(pairs, "pairs")
+
+    # first each node's closest partner
+    closest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialize(_sets(docs, asked.join(nodes.select("node", "doc"), "node"), k, id_col, text_col), "sets")
-    links = materialize(_verified(pairs, sets, percent), "verified")
+    links = materialize(_verified(closest, sets, percent), "verified")
+    labels = connected_components(links)
+    # then the pairs still in two components
+    apart = _apart(pairs, labels).join(closest, ["a", "b"], "left_anti")
+    links = materialize(links.union(_verified(apart, sets, percent)), "verified")
     labels = connected_components(links)
 
-    hot = members.where(F.col("size") > HOT).groupBy("node").agg(F.count("*").alias("held"))
-    info = nodes.join(hot, "node", "left").join(labels, "node", "left")
-    info = info.select("node", "n", *(f"s{i}" for i in range(SKETCH_WORDS)), (F.coalesce("held", F.lit(0)) > F.col("slack")).alias("tight"), F.coalesce("component", "node").alias("component"))
-    rows = members.join(info, "node")
-    apart = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    rows = materialize(rows.join(apart, "list"), "apart")
+    def rows_apart() -> DataFrame:
+        """The members, with component, of larger keys whose members are in several components; of hot keys those with a tight member."""
+        info = nodes.drop("doc", "slack", "held").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = members.join(info, "node")
+        lists = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("tight").alias("any"), F.max("size").alias("s"), F.min(F.when(F.col("tight"), F.col("node"))).alias("pivot"))
+        lists = lists.where((F.col("lo") < F.col("hi")) & ((F.col("s") <= HOT) | F.col("any"))).select("list", "pivot")
+        return materialize(rows.join(lists, "list"), "apart")
+
+    def joined(more: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        asked = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        sets = materialize(_sets(docs, asked.join(nodes.select("node", "doc"), "node"), k, id_col, text_col), "sets")
+        links = materialize(links.union(_verified(more, sets, percent)), "verified")
+        return links, connected_components(links)
+
+    two = {**renamed, "component": "component2"}
+    # hot keys: their first tight member against the others, so that a large group of near copies becomes one component
+    rows = rows_apart()
+    stars = rows.where(F.col("size") > HOT)
+    if not stars.isEmpty():
+        pivots = stars.where("node = pivot").drop("size", "keys", "pivot").withColumnRenamed("node", "a")
+        others = stars.drop("size", "keys", "pivot").withColumnsRenamed(two)
+        tried = pivots.join(others, "list").where((F.col("component") != F.col("component2")) & _may_link(percent))
+        links, labels = joined(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), links)
+        rows = rows_apart()
+    # what is still apart: pairs across the components of a key
     if not rows.isEmpty():
-        one = rows.withColumnRenamed("node", "a")
-        renamed = {"node": "b", "n": "m", "tight": "tight2", "component": "component2", **{f"s{i}": f"t{i}" for i in range(SKETCH_WORDS)}}
-        two = rows.drop("size").withColumnsRenamed(renamed)
-        where = (one["list"] == two["list"]) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & ((F.col("size") <= HOT) | F.col("tight") | F.col("tight2")) & _may_link(percent)
-        more = one.join(two, where).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_verified(more, sets, percent))
-        labels = connected_components(materialize(links, "verified"))
+        one = rows.drop("keys", "pivot").withColumnRenamed("node", "a")
+        other = rows.drop("size", "keys", "pivot").withColumnsRenamed({**two, "list": "list2"})
+        where = (F.col("list") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & ((F.col("size") <= HOT) | F.col("tight") | F.col("tight2")) & _may_link(percent)
+        links, labels = joined(one.join(other, where).select("a", "b").distinct(), links)
 
     named = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -275,18 +329,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in two components."""
+    for end, name in (("a", "ca"), ("b", "cb")):
+        of = labels.select(F.col("node").alias(end), F.col("component").alias(name))
+        pairs = pairs.join(of, end, "left").withColumn(name, F.coalesce(name, end))
+    return pairs.where("ca <> cb").select("a", "b")
+
+
 def _sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """``node, set`` (sorted hashes) of the documents that stand for the asked nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             # ids may repeat, so only a text with the node's own set stands for it
-            sets = [x.tobytes() if len(x) and _node(x) == n else None for x, n in zip(shingles(*word_hashes(batch.column("text")), k), batch.column("node").to_pylist(), strict=True)]
+            sets = [_packed_set(x) if len(x) and _node(x) == n else None for x, n in zip(shingles(*word_hashes(batch.column("text")), k), batch.column("node").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     found = asked.join(texts, F.col("text").isNotNull() & asked["doc"].eqNullSafe(texts["doc"])).select("node", "text")
-    return found.mapInArrow(run, "node long, set binary").where(F.col("set").isNotNull()).dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, set binary").where(F.col("set").isNotNull())
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
