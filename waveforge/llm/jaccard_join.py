@@ -29,7 +29,8 @@ their nodes are in several components after these have been verified, pairs acro
 components are tried too.  Hot keys are tried only for *tight* nodes, those with
 more hot keys than slack: first the key's first tight node against all others,
 then pairs across components.  Every other linked pair shares a key that is not hot.
-The bit sketches rule most pairs out before any set is moved.  So a group of
+The bit sketches rule most pairs out before any set is moved: 512 bits for all, and
+for larger sets wide ones with a bit or more a shingle, of which the longer is folded.  So a group of
 thousands of near copies costs a few links a member, and no link that would join
 two components is lost.
 
@@ -66,6 +67,7 @@ ALL_PAIRS_UP_TO = 6
 HOT = 32
 ENOUGH = 1 << 20  # stands for the shared keys of a pair that is to be verified in any case
 SKETCH_WORDS = 8
+MAX_BROADCAST_IDS = 100_000  # nodes asked for (16 bytes each) up to which texts are not shuffled to them
 
 
 def _blocks(band: int, percent: int, density: float) -> int:
@@ -106,28 +108,46 @@ def _sketch(one: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def _wide(one: np.ndarray) -> bytes | None:
+    """A sketch of a bit or more a shingle for the sets that the narrow sketch is too short for."""
+    if len(one) <= 64 * SKETCH_WORDS:
+        return None
+    size = 1 << (len(one) - 1).bit_length()
+    odd = np.bincount(((one >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _wide_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two wide sketches; the longer is folded, which keeps it a parity sketch."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _node(one: np.ndarray) -> int:
     total = mix(np.array([np.add.reduce(mix(one)), np.bitwise_xor.reduce(one)], np.uint64))
     return int(mix(total[:1] + total[1:] * np.uint64(3) + np.uint64(len(one))).view(np.int64)[0])
 
 
 def signatures(docs: DataFrame, k: int, percent: int, density: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, node, slack, s0..`` of each document; slack -1: too few blocks at this density."""
+    """``doc, n, node, slack, s0.., wide`` of each document; slack -1: too few blocks at this density."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, node, slack, sketch = [], [], [], []
+            n, node, slack, sketch, wide = [], [], [], [], []
             for one in shingles(*word_hashes(batch.column("text")), k):
                 n.append(len(one))
                 node.append(_node(one) if len(one) else None)
                 slack.append(min((_keys(one, b, percent, density)[1] for b in _bands(len(one), percent)), default=0) if len(one) else 0)
                 sketch.append(_sketch(one))
+                wide.append(_wide(one))
             columns = [pa.array(x, pa.int64()) for x in (n, node, slack, *zip(*sketch, strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, pa.array(wide, pa.binary())], names=[*names, "wide"])
 
     names = ["doc", "n", "node", "slack", *(f"s{i}" for i in range(SKETCH_WORDS))]
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]) + ", wide binary")
 
 
 def _packed_keys(docs: DataFrame, k: int, percent: int, density: float, buckets: int, text_col: str) -> DataFrame:
@@ -232,6 +252,22 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b first) whose wide sketches allow the similarity; those without a wide sketch stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, total = (batch.column(c).to_pylist() for c in ("x", "y", "total"))
+            keep = [p is None or q is None or _wide_distance(p, q) * (100 + percent) <= (100 - percent) * t for p, q, t in zip(x, y, total, strict=True)]
+            yield batch.select(pairs_schema).filter(pa.array(keep, pa.bool_()))
+
+    pairs_schema = pairs.columns
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("total", F.col("na") + F.col("nb")).select(*pairs_schema, "x", "y", "total")
+    return both.mapInArrow(run, pairs.schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
@@ -265,18 +301,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     members = lists.select(F.explode("nodes").alias("node"), "list", "keys", F.size("nodes").alias("size"))
     hot = members.where(F.col("size") > HOT).groupBy("node").agg(F.sum("keys").alias("held"))
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(x).alias(x) for x in ("n", "slack", *sketch)))
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(x).alias(x) for x in ("n", "slack", *sketch, "wide")))
     nodes = nodes.join(hot, "node", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("tight", F.col("held") > F.col("slack"))
     nodes = materialize(nodes, "nodes")
 
     # a linked pair shares slack + 1 keys; some may be among the hot keys of either, and keys of more nodes are tried below
     left = nodes.select(F.col("node").alias("a"), "n", "slack", "held", *sketch)
     renamed = {"node": "b", "n": "m", "slack": "slack2", "held": "held2", "tight": "tight2", **{f"s{i}": f"t{i}" for i in range(SKETCH_WORDS)}}
-    right = nodes.drop("doc").withColumnsRenamed(renamed)
+    right = nodes.drop("doc", "wide").withColumnsRenamed(renamed)
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = F.greatest(F.lit(1), F.least("slack", "slack2") + 1 - F.least("held", "held2"))
     pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"))
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_sieved(pairs, nodes, percent), "pairs")
 
     # first each node's closest partner
     closest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -291,14 +327,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
 
     def rows_apart() -> DataFrame:
         """The members, with component, of larger keys whose members are in several components; of hot keys those with a tight member."""
-        info = nodes.drop("doc", "slack", "held").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        info = nodes.drop("doc", "slack", "held", "wide").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = members.join(info, "node")
         lists = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("tight").alias("any"), F.max("size").alias("s"), F.min(F.when(F.col("tight"), F.col("node"))).alias("pivot"))
         lists = lists.where((F.col("lo") < F.col("hi")) & ((F.col("s") <= HOT) | F.col("any"))).select("list", "pivot")
         return materialize(rows.join(lists, "list"), "apart")
 
     def joined(more: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        more = materialize(_sieved(more.join(pairs, ["a", "b"], "left_anti"), nodes, percent), "more")
         asked = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
         sets = materialize(_sets(docs, asked.join(nodes.select("node", "doc"), "node"), k, id_col, text_col), "sets")
         links = materialize(links.union(_verified(more, sets, percent)), "verified")
@@ -347,6 +383,9 @@ def _sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    asked = materialize(asked, "asked")
+    if asked.count() <= MAX_BROADCAST_IDS:
+        asked = F.broadcast(asked)  # else both sides are shuffled
     found = asked.join(texts, F.col("text").isNotNull() & asked["doc"].eqNullSafe(texts["doc"])).select("node", "text")
     return found.mapInArrow(run, "node long, set binary").where(F.col("set").isNotNull())
 
