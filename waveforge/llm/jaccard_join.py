@@ -26,7 +26,8 @@ that are *hot*, held by over ``HOT`` nodes; keys of up to ``ALL_PAIRS_UP_TO`` no
 give all pairs with counts, and pairs of too few shared keys go.  Keys of up to
 ``HOT`` nodes give links from the first node and along the order, and are kept: where
 their nodes are in several components after these have been verified, pairs across
-components are tried too.  Hot keys are tried only for *tight* nodes, those with
+components are tried too, but for the longest lists of a node, which may be left aside as
+far as they hold a third of its spare keys.  Hot keys are tried only for *tight* nodes, those with
 more hot keys than slack: first the key's first tight node against all others,
 then pairs across components.  Every other linked pair shares a key that is not hot.
 The bit sketches rule most pairs out before any set is moved: 512 bits for all, and
@@ -52,7 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -65,6 +66,7 @@ DENSITY = 0.55  # blocks for each shingle of a band's largest document
 SLACK = 0.1  # further keys, as a share of the size
 ALL_PAIRS_UP_TO = 6
 HOT = 32
+FIRST_LISTS = 32  # list ids of a node by which repeated pairs are seen; further ones only cost repeats
 ENOUGH = 1 << 20  # stands for the shared keys of a pair that is to be verified in any case
 SKETCH_WORDS = 8
 MAX_BROADCAST_IDS = 100_000  # nodes asked for (16 bytes each) up to which texts are not shuffled to them
@@ -304,13 +306,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(x).alias(x) for x in ("n", "slack", *sketch, "wide")))
     nodes = nodes.join(hot, "node", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("tight", F.col("held") > F.col("slack"))
     nodes = materialize(nodes, "nodes")
+    members = materialize(_thinned(members, nodes), "members")
 
     # a linked pair shares slack + 1 keys; some may be among the hot keys of either, and keys of more nodes are tried below
     left = nodes.select(F.col("node").alias("a"), "n", "slack", "held", *sketch)
     renamed = {"node": "b", "n": "m", "slack": "slack2", "held": "held2", "tight": "tight2", **{f"s{i}": f"t{i}" for i in range(SKETCH_WORDS)}}
     right = nodes.drop("doc", "wide").withColumnsRenamed(renamed)
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    least = F.greatest(F.lit(1), F.least("slack", "slack2") + 1 - F.least("held", "held2"))
+    least = F.greatest(F.lit(1), F.ceil((F.least("slack", "slack2") + 1 - F.least("held", "held2")) / 3))
     pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"))
     pairs = materialize(_sieved(pairs, nodes, percent), "pairs")
 
@@ -352,9 +355,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
         rows = rows_apart()
     # what is still apart: pairs across the components of a key
     if not rows.isEmpty():
+        # a pair that shares several lists is made in the first of them, as far as both know it among their first;
+        # a hot list makes no pair of two nodes that are not tight, so it doesn't count among theirs
+        open_ = F.when((F.col("size") <= HOT) | F.col("tight"), F.col("list"))
+        firsts = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(open_)), 1, FIRST_LISTS).alias("firsts"))
+        rows = rows.join(firsts, "node")
         one = rows.drop("keys", "pivot").withColumnRenamed("node", "a")
-        other = rows.drop("size", "keys", "pivot").withColumnsRenamed({**two, "list": "list2"})
-        where = (F.col("list") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & ((F.col("size") <= HOT) | F.col("tight") | F.col("tight2")) & _may_link(percent)
+        other = rows.drop("size", "keys", "pivot").withColumnsRenamed({**two, "list": "list2", "firsts": "firsts2"})
+        earlier = F.coalesce(F.array_min(F.array_intersect("firsts", "firsts2")) < F.col("list"), F.lit(False))
+        where = (F.col("list") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & ((F.col("size") <= HOT) | F.col("tight") | F.col("tight2")) & _may_link(percent) & ~earlier
         links, labels = joined(one.join(other, where).select("a", "b").distinct(), links)
 
     named = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
@@ -365,6 +374,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def _thinned(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``members`` without each node's longest lists, as far as they hold no more than a third of its spare keys.
+
+    A node that is not tight has spared its hot keys already: those lists stay for tight
+    partners, and a third of what is left of its slack may go from the others.  Of a linked
+    pair's shared keys M + 1, M at least either slack, at most 2 M / 3 are so left aside:
+    another shared list stays, or over M / 3 are keys of few nodes, for which a third of the
+    shared keys is asked.
+    """
+    spare = F.floor(F.when(F.col("tight"), F.col("slack")).otherwise(F.col("slack") - F.col("held")) / 3)
+    open_ = F.when(F.col("tight") | (F.col("size") <= HOT), F.col("keys")).otherwise(0)
+    longest = Window.partitionBy("node").orderBy(F.when(open_ > 0, 0).otherwise(1), F.col("size").desc(), "list").rowsBetween(Window.unboundedPreceding, 0)
+    rows = members.join(nodes.select("node", "slack", "held", "tight"), "node").withColumn("_open", open_).withColumn("_past", F.sum("_open").over(longest))
+    return rows.where((F.col("_open") == 0) | (F.col("_past") > spare)).select(*members.columns)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose nodes are in two components."""
     for end, name in (("a", "ca"), ("b", "cb")):
