@@ -237,6 +237,11 @@ def _distance() -> Column:
     return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _big() -> Column:
+    """Whether both sets of a pair have a wide sketch."""
+    return (F.least("n", "m") > 64 * SKETCH_WORDS).alias("big")
+
+
 def _may_link(percent: int) -> Column:
     """Sizes and bit sketches of a pair allow the similarity: 100 |A and B| >= percent |A or B|."""
     sizes = F.col("n") + F.col("m")
@@ -255,7 +260,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b first) whose wide sketches allow the similarity; those without a wide sketch stay."""
+    """The ``pairs``, without ``big``, whose wide sketches allow the similarity; those that are not big have none, stay and are not joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +268,13 @@ def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = [p is None or q is None or _wide_distance(p, q) * (100 + percent) <= (100 - percent) * t for p, q, t in zip(x, y, total, strict=True)]
             yield batch.select(pairs_schema).filter(pa.array(keep, pa.bool_()))
 
+    tried = materialize(pairs, "tried")
+    small, pairs = tried.where("not big").drop("big"), tried.where("big").drop("big")
     pairs_schema = pairs.columns
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("total", F.col("na") + F.col("nb")).select(*pairs_schema, "x", "y", "total")
-    return both.mapInArrow(run, pairs.schema)
+    return small.union(both.mapInArrow(run, pairs.schema))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     right = nodes.drop("doc", "wide").withColumnsRenamed(renamed)
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = F.greatest(F.lit(1), F.ceil((F.least("slack", "slack2") + 1 - F.least("held", "held2")) / 3))
-    pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"))
+    pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"), _big())
     pairs = materialize(_sieved(pairs, nodes, percent), "pairs")
 
     # first each node's closest partner
@@ -351,7 +358,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
         pivots = stars.where("node = pivot").drop("size", "keys", "pivot").withColumnRenamed("node", "a")
         others = stars.drop("size", "keys", "pivot").withColumnsRenamed(two)
         tried = pivots.join(others, "list").where((F.col("component") != F.col("component2")) & _may_link(percent))
-        links, labels = joined(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), links)
+        links, labels = joined(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _big()).distinct(), links)
         rows = rows_apart()
     # what is still apart: pairs across the components of a key
     if not rows.isEmpty():
@@ -364,7 +371,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
         other = rows.drop("size", "keys", "pivot").withColumnsRenamed({**two, "list": "list2", "firsts": "firsts2"})
         earlier = F.coalesce(F.array_min(F.array_intersect("firsts", "firsts2")) < F.col("list"), F.lit(False))
         where = (F.col("list") == F.col("list2")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & ((F.col("size") <= HOT) | F.col("tight") | F.col("tight2")) & _may_link(percent) & ~earlier
-        links, labels = joined(one.join(other, where).select("a", "b").distinct(), links)
+        links, labels = joined(one.join(other, where).select("a", "b", _big()).distinct(), links)
 
     named = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
