@@ -171,6 +171,25 @@ def test_chains_are_collinear():
     assert best == [0, 1, 2, 3]
 
 
+def test_chains_find_every_passage_of_a_pair():
+    # two passages of 60 words, 150 unshared words apart in both texts: the end of the first is out of reach, a near match isn't
+    x = np.concatenate([np.arange(0, 53, 4), np.arange(210, 263, 4)])
+    found = substring_dedup.chains(x, x + 7, 8)
+    assert sorted((int(x[c[0]]), int(x[c[-1]])) for c in found) == [(0, 52), (210, 262)]
+    for seed in range(20):  # no predecessor within reach is better than the one taken
+        r = np.random.default_rng(seed)
+        x, y = r.integers(0, 400, 150).astype(np.int32), r.integers(0, 400, 150).astype(np.int32)
+        score, order = {}, sorted(range(150), key=lambda i: (x[i], y[i]))
+        for i in order:
+            near = [j for j in score if 0 < x[i] - x[j] <= 60 and 0 < y[i] - y[j] <= 60]
+            j = max(near, key=lambda j: (score[j] + 0.0625 * (int(x[j]) + int(y[j])), order.index(j)), default=None)
+            gain = 0 if j is None else score[j] - 0.0625 * int(x[i] - x[j] + y[i] - y[j]) + min(8, x[i] - x[j], y[i] - y[j])
+            score[i] = max(8.0, float(gain))
+        chain = substring_dedup.chains(x, y, 8, gap_cost=0.0625)[0]
+        assert abs(score[chain[-1]] - max(score.values())) < 1e-6
+        assert all(0 < x[b] - x[a] <= 60 and 0 < y[b] - y[a] <= 60 for a, b in zip(chain, chain[1:]))
+
+
 def repeat_words(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
