@@ -190,6 +190,22 @@ def test_chains_find_every_passage_of_a_pair():
         assert all(0 < x[b] - x[a] <= 60 and 0 < y[b] - y[a] <= 60 for a, b in zip(chain, chain[1:]))
 
 
+def test_passages_of_frequent_lines_and_repeats(spark):
+    # 40 and 41 alone share two lines in a row; every line is held by earlier documents and by one just before 41
+    lines = [prose(30, 500 + i) for i in range(2)]
+    rows = [(i, prose(50, 600 + i) + " " + lines[i % 2] + " " + prose(50, 700 + i)) for i in (*range(30), 45, 46)]
+    rows += [(40, prose(60, 800) + " " + " ".join(lines) + " " + prose(40, 801)), (50, prose(70, 802) + " " + " ".join(lines) + " " + prose(30, 803))]
+    # 61 holds a passage of 60 twice, and two passages of 50 words with 150 unshared words between
+    first, second = prose(50, 810), prose(50, 811)
+    rows += [(60, first + " " + prose(150, 812) + " " + second), (61, first + " " + prose(160, 813) + " " + second + " " + prose(90, 814) + " " + first)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r["later"], r["earlier"], r["start"], r["end"]) for r in substring_dedup.passages(frame).collect()]
+    assert any(f[:2] == (50, 40) and f[2] <= 72 and f[3] >= 128 for f in found)
+    starts = sorted(f[2] for f in found if f[:2] == (61, 60))
+    assert len(starts) == 3 and np.allclose(starts, [0, 210, 350], atol=3)
+    assert {f[0] for f in found} == {50, 61}
+
+
 def repeat_words(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
