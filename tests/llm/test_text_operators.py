@@ -206,6 +206,24 @@ def test_passages_of_frequent_lines_and_repeats(spark):
     assert {f[0] for f in found} == {50, 61}
 
 
+def test_recall_of_edited_passages(spark):
+    rows, rates, sizes = [], (0.05, 0.10, 0.15, 0.25), (50, 75, 100)
+    for i in range(240):
+        r, size = random.Random(i), sizes[i // 4 % 3]
+        passage = prose(size, 2000 + i).split(" ")
+        changed = set(r.sample(range(size), round(rates[i % 4] * size)))
+        copy = [f"EDIT{i}x{j}" if j in changed else w for j, w in enumerate(passage)]
+        rows += [(i, prose(60, 3000 + i) + " " + " ".join(passage) + " " + prose(60, 4000 + i)), (1000 + i, prose(80, 5000 + i) + " " + " ".join(copy) + " " + prose(70, 6000 + i))]
+    # evenly edited: one changed word in every eight leaves no eight words in a row
+    even = [f"EVEN{j}" if j % 8 == 7 else w for j, w in enumerate(prose(80, 7000).split(" "))]
+    rows += [(900, prose(80, 7000)), (1900, " ".join(even))]
+    got = {(r["later"], r["earlier"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = [sum((1000 + i, i) in got for i in range(j, 240, 4)) / 60 for j in range(4)]
+    print("recall at 5, 10, 15, 25 percent", recall)
+    assert (1900, 900) in got and all(a - b == 1000 for a, b in got)
+    assert recall[0] >= 0.98 and recall[1] >= 0.98 and recall[2] >= 0.95 and recall[3] >= 0.85
+
+
 def repeat_words(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
