@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def test_empty_tables_give_empty_results(spark):
     train = spark.createDataFrame([], "event_id long, unit long, wire string, ts_us long, amplitude double")
     assert trains.train_report(train, 1.0, (1.0, 2.0)).count() == 0
     assert trains.burst_flags(train, 1000, 2.0).count() == 0
+
+
+def test_fuzzy_clustering_equals_numpy_with_six_groups(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    points = np.concatenate([np.array(c) + r.normal(0, 0.6, (20, 2)) for c in ((0, 0), (9, 1), (2, 11), (14, 12), (25, 3), (22, 20))])
+
+    def distances(centers):
+        return ((points[:, None, :] - centers[None]) ** 2).sum(axis=2)
+
+    centers, best = points.mean(axis=0)[None], (None, 0.0)
+    for k in range(2, 7):
+        centers, before = np.vstack([centers, points[distances(centers).sum(axis=1).argmin()] + 1e-5]), None
+        for _ in range(50):
+            d2 = distances(centers)
+            u2 = ((1 / d2) / (1 / d2).sum(axis=1, keepdims=True)) ** 2
+            coefficient, objective = u2.sum() / len(points), (u2 * d2).sum()
+            if before is not None and abs(objective - before) < 1e-5:
+                break
+            before, centers = objective, u2.T @ points / u2.sum(axis=0)[:, None]
+        if (got := 1 - k / (k - 1) * (1 - coefficient)) > best[1]:
+            best = (centers, got)
+    want = distances(best[0]).argmin(axis=1).tolist()
+    frame = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "spike_id long, a double, b double").coalesce(1).cache()
+    monkeypatch.setattr(catalogue, "_xy", lambda spark, sf_dir: frame)
+    got = {r["spike_id"]: r["cluster"] for r in catalogue.QUERIES["fcm_cluster"](spark, SF).collect()}
+    assert len(best[0]) == 6 and [got[i] for i in range(len(points))] == want

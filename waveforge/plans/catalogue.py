@@ -427,5 +427,5 @@ def fcm_step(spark, sf_dir):
 @query()
 def fcm_cluster(spark, sf_dir):
     rows = _xy(spark, sf_dir)
-    centers, _ = fuzzy.best_partition(rows, ["a", "b"], 4, "spike_id", max_iter=20)
+    centers, _ = fuzzy.best_partition(rows, ["a", "b"], 6, "spike_id", max_iter=50)
     return fuzzy.assign(rows, ["a", "b"], centers).select("spike_id", "cluster")
