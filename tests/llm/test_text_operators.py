@@ -317,6 +317,11 @@ def best_count(items, capacity):
     return best
 
 
+def test_a_hot_length_that_fits_once_is_one_pattern():
+    assert packing.reduce_by_dominance({600: 20_000}, 1024) == ([(((600, 1),), 20_000)], {})
+    assert dict(packing.plan({600: 20_000, 424: 5}, 1024)) == {((600, 1), (424, 1)): 5, ((600, 1),): 19_995}
+
+
 def test_reduction_keeps_an_optimum():
     for seed in range(60):
         r = random.Random(seed)

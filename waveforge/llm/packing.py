@@ -77,7 +77,7 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 room = capacity - w
                 low = smallest(3, w)
                 if not low or low[0] > room:
-                    take(w, times=left[w] if not low or w != low[0] else 1)
+                    take(w, times=left[w])  # what is left is w or longer, or doesn't fit: so for every piece of w
                 elif left.get(room, 0) > (room == w):
                     take(w, room, times=left[w] // 2 if room == w else min(left[w], left[room]))
                 else:
@@ -141,7 +141,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     fixed, left = reduce_by_dominance(counts, capacity)
-    return fixed + best_fit(left, capacity)
+    times: dict[Pattern, int] = defaultdict(int)
+    for pattern, n in fixed + best_fit(left, capacity):
+        times[pattern] += n
+    return list(times.items())
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
