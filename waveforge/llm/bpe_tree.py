@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import _SPACE
-from .shared import slices
+from .shared import arrow_map, held, slices
 
 _FIRM = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
@@ -87,16 +87,6 @@ class TreeCodec:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
-_CODECS: dict = {}
-
-
-def _codec(*args) -> TreeCodec:
-    if args not in _CODECS:
-        _CODECS.clear()
-        _CODECS[args] = TreeCodec(*args)
-    return _CODECS[args]
-
-
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per document: ``n_tokens``, ``ids_sha256`` of the decimal ids joined by commas and ``decoded_sha256`` of the decoded bytes.
 
@@ -104,7 +94,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern)
+        codec = held(TreeCodec, ranks_path, pattern)
         for batch in slices(batches, "text", 2 << 20):
             count, ids_hash, decoded_hash, all_ids, all_bytes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -125,4 +115,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * keep_ids]
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema, holds=True)

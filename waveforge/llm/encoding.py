@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -166,7 +167,7 @@ class ByteEncoder:
     """Texts -> arrays of unsigned 32-bit ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
@@ -181,6 +182,11 @@ class ByteEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.merges.encode_to_numpy(text, disallowed_special=())
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own object, loaded when the first text needs it."""
+        return Tokenizer.from_file(self.path)
+
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:
     """bytes -> id of a byte-level vocabulary whose merges stand in the order of their ids; None for any other."""
@@ -198,13 +204,3 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     except KeyError:
         return None
 
-
-_ENCODERS: dict = {}
-
-
-def encoder(kind: type, path: str):
-    """One encoder for each Python worker, kept between tasks."""
-    if (kind, path) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[kind, path] = kind(path)
-    return _ENCODERS[kind, path]

@@ -13,9 +13,10 @@ Of its non-empty blocks, in the order of their hashes, the first d + 1 must hold
 one that the partner has among its own first d + 1: they are the join keys.  Some
 further blocks (``slack``) are added so that keys held by very many documents
 may be left aside.  Blocks are made per size band; a document stands in the
-band of its size and, where partners may be smaller, in the one below.  Where a
-document has too few non-empty blocks for the argument, its band is rebuilt with
-more blocks.
+band of its size and, where partners may be smaller, in the one below.  A document
+whose non-empty blocks are too few for the argument is 11 standard deviations off in
+the smallest band with blocks and further in larger ones; should there be one, its
+band, and no other, gets more blocks.
 
 **Shuffle.**  Keys travel packed: a task sorts them by bucket and emits one row of
 13 bytes a key for each bucket and batch, so 100 million keys are some ten thousand rows.
@@ -57,11 +58,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import materialize, partitions, slices
+from .shared import arrow_map, materialize, partitions, runs, scratch, slices
 from .words import mix, shingles, word_hashes
 
 BAND = 4  # ratio of a size band
-SINGLE_UP_TO = 64  # below this size every shingle is a block of its own
+SINGLE_UP_TO = 128  # below this size every shingle is a block of its own
 DENSITY = 0.55  # blocks for each shingle of a band's largest document
 SLACK = 0.1  # further keys, as a share of the size
 ALL_PAIRS_UP_TO = 6
@@ -72,9 +73,9 @@ SKETCH_WORDS = 8
 MAX_BROADCAST_IDS = 100_000  # nodes asked for (16 bytes each) up to which texts are not shuffled to them
 
 
-def _blocks(band: int, percent: int, density: float) -> int:
+def _blocks(band: int, percent: int, levels: dict[int, int]) -> int:
     largest = math.ceil(BAND ** (band + 1) * 100 / percent)
-    return 0 if largest <= SINGLE_UP_TO else int(largest * density)
+    return 0 if largest <= SINGLE_UP_TO else int(largest * DENSITY * 1.5 ** levels.get(band, 0))
 
 
 def _bands(n: int, percent: int) -> list[int]:
@@ -82,9 +83,9 @@ def _bands(n: int, percent: int) -> list[int]:
     return sorted({own, low})
 
 
-def _keys(one: np.ndarray, band: int, percent: int, density: float) -> tuple[np.ndarray, int]:
+def _keys(one: np.ndarray, band: int, percent: int, levels: dict[int, int]) -> tuple[np.ndarray, int]:
     """The keys of a set in a band and how many of them may be left aside; -1 where the blocks are too few."""
-    n, b = len(one), _blocks(band, percent, density)
+    n, b = len(one), _blocks(band, percent, levels)
     seed = np.uint64((band + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
     if b == 0:
         found = mix(one ^ seed)
@@ -132,36 +133,38 @@ def _node(one: np.ndarray) -> int:
     return int(mix(total[:1] + total[1:] * np.uint64(3) + np.uint64(len(one))).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame, k: int, percent: int, density: float, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, node, slack, s0.., wide`` of each document; slack -1: too few blocks at this density."""
+def signatures(docs: DataFrame, k: int, percent: int, levels: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """``doc, n, node, slack, lack, s0.., wide`` of each document; lack: a band with too few blocks for it, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, node, slack, sketch, wide = [], [], [], [], []
+            n, node, slack, lack, sketch, wide = [], [], [], [], [], []
             for one in shingles(*word_hashes(batch.column("text")), k):
                 n.append(len(one))
                 node.append(_node(one) if len(one) else None)
-                slack.append(min((_keys(one, b, percent, density)[1] for b in _bands(len(one), percent)), default=0) if len(one) else 0)
+                spare = {b: _keys(one, b, percent, levels)[1] for b in _bands(len(one), percent)} if len(one) else {}
+                slack.append(min(spare.values(), default=0))
+                lack.append(next((b for b, x in spare.items() if x < 0), None))
                 sketch.append(_sketch(one))
                 wide.append(_wide(one))
-            columns = [pa.array(x, pa.int64()) for x in (n, node, slack, *zip(*sketch, strict=True))]
+            columns = [pa.array(x, pa.int64()) for x in (n, node, slack, lack, *zip(*sketch, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, pa.array(wide, pa.binary())], names=[*names, "wide"])
 
-    names = ["doc", "n", "node", "slack", *(f"s{i}" for i in range(SKETCH_WORDS))]
+    names = ["doc", "n", "node", "slack", "lack", *(f"s{i}" for i in range(SKETCH_WORDS))]
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]) + ", wide binary")
+    return arrow_map(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]) + ", wide binary")
 
 
-def _packed_keys(docs: DataFrame, k: int, percent: int, density: float, buckets: int, text_col: str) -> DataFrame:
+def _packed_keys(docs: DataFrame, k: int, percent: int, levels: dict[int, int], buckets: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20, 1 << 15):
+        for batch in runs(batches, "text"):
             keys, nodes, seen = [], [], set()
             for one in shingles(*word_hashes(batch.column("text")), k):
                 if not len(one) or (node := _node(one)) in seen:
                     continue
                 seen.add(node)
                 for band in _bands(len(one), percent):
-                    found, _ = _keys(one, band, percent, density)
+                    found, _ = _keys(one, band, percent, levels)
                     keys.append(found)
                     nodes.append(np.full(len(found), node, np.int64))
             if not keys:
@@ -178,7 +181,7 @@ def _packed_keys(docs: DataFrame, k: int, percent: int, density: float, buckets:
                 names=["bucket", "keys", "nodes"],
             )
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, keys binary, nodes binary")
+    return arrow_map(docs.select(F.col(text_col).alias("text")), run, "bucket int, keys binary, nodes binary")
 
 
 def _candidates(packed: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def _candidates(packed: DataFrame) -> DataFrame:
             yield of_bucket(keys, nodes)
 
     n = partitions(packed.sparkSession)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, nodes array<long>")
+    return arrow_map(packed.repartition(n, "bucket").sortWithinPartitions("bucket"), run, "a long, b long, shared long, nodes array<long>")
 
 
 def _distance() -> Column:
@@ -248,17 +251,6 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (_distance() * (100 + percent) <= (100 - percent) * sizes)
 
 
-def _packed_set(one: np.ndarray) -> bytes:
-    """The upper 40 bits of a set's sorted hashes: two of a pair's n and m shingles agree by chance with probability n m / 2^40."""
-    return np.ascontiguousarray(one.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
-
-
 def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The ``pairs``, without ``big``, whose wide sketches allow the similarity; those that are not big have none, stay and are not joined."""
 
@@ -274,7 +266,7 @@ def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("total", F.col("na") + F.col("nb")).select(*pairs_schema, "x", "y", "total")
-    return small.union(both.mapInArrow(run, pairs.schema))
+    return small.union(arrow_map(both, run, pairs.schema))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +276,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = _unpacked(x), _unpacked(y)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)  # distinct and sorted
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -293,19 +285,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return arrow_map(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``id_col, n_shingles, component_id``: documents linked at Jaccard >= percent / 100, directly or through others."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, k, percent, id_col, text_col), "jaccard")
+
+
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    density = DENSITY
+    levels: dict[int, int] = {}
     while True:
-        sigs = materialize(signatures(docs, k, percent, density, id_col, text_col), "signatures")
-        if sigs.where("slack < 0").isEmpty():
+        sigs = materialize(signatures(docs, k, percent, levels, id_col, text_col), "signatures")
+        short = [r["lack"] for r in sigs.where("lack is not null").select("lack").distinct().collect()]  # a dozen bands at most
+        if not short:
             break
-        density *= 1.5
-    found = materialize(_candidates(_packed_keys(docs, k, percent, density, 8 * partitions(spark), text_col)), "candidates")
+        levels |= {b: levels.get(b, 0) + 1 for b in short}
+    found = materialize(_candidates(_packed_keys(docs, k, percent, levels, 8 * partitions(spark), text_col)), "candidates")
     lists = found.where("nodes is not null").groupBy(F.xxhash64("nodes").alias("list")).agg(F.first("nodes").alias("nodes"), F.sum("shared").alias("keys"))
     members = lists.select(F.explode("nodes").alias("node"), "list", "keys", F.size("nodes").alias("size"))
     hot = members.where(F.col("size") > HOT).groupBy("node").agg(F.sum("keys").alias("held"))
@@ -411,7 +409,7 @@ def _sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             # ids may repeat, so only a text with the node's own set stands for it
-            sets = [_packed_set(x) if len(x) and _node(x) == n else None for x, n in zip(shingles(*word_hashes(batch.column("text")), k), batch.column("node").to_pylist(), strict=True)]
+            sets = [x.tobytes() if len(x) and _node(x) == n else None for x, n in zip(shingles(*word_hashes(batch.column("text")), k), batch.column("node").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -419,7 +417,7 @@ def _sets(docs: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str)
     if asked.count() <= MAX_BROADCAST_IDS:
         asked = F.broadcast(asked)  # else both sides are shuffled
     found = asked.join(texts, F.col("text").isNotNull() & asked["doc"].eqNullSafe(texts["doc"])).select("node", "text")
-    return found.mapInArrow(run, "node long, set binary").where(F.col("set").isNotNull())
+    return arrow_map(found, run, "node long, set binary").where(F.col("set").isNotNull())
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,5 +426,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_
     Rows without an id can't be named by a component and stay.
     """
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

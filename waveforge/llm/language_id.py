@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import slices
+from .shared import arrow_map, slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -92,7 +92,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *new])
 
     schema = StructType(list(base.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return base.mapInArrow(predict, schema)
+    return arrow_map(base, predict, schema)
 
 
 def _best(text: str | None, langs: list[str], made: list, part_chars: int) -> tuple[str, float]:

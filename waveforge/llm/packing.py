@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import ByteEncoder, encoder
-from .shared import materialize, partitions, slices
+from .encoding import ByteEncoder
+from .shared import arrow_map, held, materialize, partitions, slices
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 #: Rows of the slot table up to which it is broadcast (about 60 bytes each).
@@ -151,7 +151,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     """``doc_id, piece, start, length, ids_crc32``; only documents over ``capacity`` are cut, the first piece takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ByteEncoder, tokenizer)
+        enc = held(ByteEncoder, tokenizer)
         for batch in slices(batches, "text", 2 << 20):
             out = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -168,7 +168,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return arrow_map(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, holds=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

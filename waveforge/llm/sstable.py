@@ -43,8 +43,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import WordEncoder, encoder
-from .shared import new_folder, partitions, slices
+from .encoding import WordEncoder
+from .shared import held, new_folder, partitions, slices
 
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _MAGIC = b"WFSSTAB1"
@@ -202,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         store, root = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        enc = encoder(WordEncoder, tokenizer)
+        enc = held(WordEncoder, tokenizer)
         for batch in slices(batches, "text", 8 << 20, 1 << 16):
             if writer is None:
                 writer = ShardWriter(store.open_output_stream(path, compression=None), width)

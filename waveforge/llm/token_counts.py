@@ -18,15 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import ByteEncoder, encoder, segments
-from .shared import slices
+from .encoding import ByteEncoder, segments
+from .shared import arrow_map, held, slices
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, part_chars: int = 1 << 16) -> DataFrame:
     """One row per document: ``id_col``, ``n_bytes`` (UTF-8) and ``n_tokens`` of its whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ByteEncoder, tokenizer)
+        enc = held(ByteEncoder, tokenizer)
         for batch in slices(batches, "text", batch_bytes):
             texts = batch.column("text")
             tokens = [sum(len(enc.encode(x)) for x in enc_parts(text)) for text in texts.to_pylist()]
@@ -36,10 +36,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def enc_parts(text: str | None) -> list[str]:
         if not text:
             return []
-        enc = encoder(ByteEncoder, tokenizer)
+        enc = held(ByteEncoder, tokenizer)
         # an added token may itself hold a place to cut, so texts with one stay whole
         return [text] if any(x in text for x in enc.added) else segments(text, part_chars)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return arrow_map(rows, count, f"`{id_col}` {kind}, n_bytes long, n_tokens long", holds=True)
