@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -59,10 +60,14 @@ def test_encoders_equal_the_library():
     alphabet = [*"ab  \n\n\t.,'sé¹²Ώ <|1 9\x1c\xa0İ", "<|endoftext|>", "'s", "'ll", " x"]
     r = random.Random(5)
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(1500)] + [t for t in TEXTS if t]
-    word, byte = WordEncoder(path("word_bpe_49k.json"), cache_size=50), ByteEncoder(path("byte_bpe_50k.json"))
-    assert word.by_piece and byte.merges
-    for text, ids in zip(texts, word.encode(texts), strict=True):
-        assert np.frombuffer(ids, np.uint16).tolist() == word.tokenizer.encode(text, add_special_tokens=False).ids
+    word, byte = WordEncoder(path("word_bpe_49k.json")), ByteEncoder(path("byte_bpe_50k.json"))
+    assert word.merges and byte.merges
+    ids, bounds = word.encode(pa.array([None, *texts]).slice(1))
+    together = byte.encode_all([*texts, None])
+    assert len(together.pop()) == 0 and word.encode(pa.array([None, ""]))[1].tolist() == [0, 0, 0]
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == word.tokenizer.encode(text, add_special_tokens=False).ids
+        assert together[i].tolist() == byte.encode(text).tolist()
         want = byte.tokenizer.encode(text, add_special_tokens=False).ids
         assert byte.encode(text).tolist() == want
         if "<|endoftext|>" not in text:
@@ -110,6 +115,11 @@ def test_shards_round_trip_and_lookup(spark, docs, empty):
     found = sstable.lookup(spark, manifest, spark.createDataFrame([(4,), (6,), (999,)], "doc_id long"), folder).collect()
     assert sorted(r["doc_id"] for r in found) == [4, 6, 6]
     assert [r["ids"] for r in found if r["doc_id"] == 4] == [[*enc.encode("two words").ids, 2]]
+    nulls = sstable.write_shards(spark.createDataFrame([(None, "one"), (-5, None), (None, "one"), (3, "two words")], "doc_id long, text string"), path("word_bpe_49k.json"), folder=folder)
+    asked = spark.createDataFrame([(None,), (-5,), (-6,), (4,)], "doc_id long")
+    assert sorted((r["doc_id"] is None, r["ids"][-1]) for r in sstable.lookup(spark, nulls, asked, folder).collect()) == [(False, 2), (True, 2), (True, 2)]
+    with pytest.raises(TypeError):
+        sstable.write_shards(docs, path("word_bpe_49k.json"), id_col="id")
     assert sstable.read_shards(spark, sstable.write_shards(empty, path("word_bpe_49k.json"))).count() == 0
 
 

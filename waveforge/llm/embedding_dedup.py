@@ -1,54 +1,77 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass draws random hyperplanes and orders the vectors of a label by their
-concatenated sign bits; vectors a small angle apart share long prefixes and come
-to stand close.  Every vector is compared with the ``window`` vectors before it.
-A pair at cosine 0.98 disagrees on a bit with probability 0.064, so it shares the
-first ten bits of a pass half of the time, and ``passes`` passes leave fewer than
-one such pair in 2^passes unseen.  Pairs that reach the threshold are united over
-all passes; within a run of rows only a spanning forest of them is emitted.
-
-A pair that reaches the threshold lies inside one component, so the number of
-links of a vector is counted exactly inside its component, in blocks: a block of
-``block`` members is compared with all members, streamed; no pair is emitted.
-A component of m vectors costs m^2 / block row copies, the price of exact counts.
+Each pass draws random hyperplanes through the mean of a label and orders its vectors
+by their concatenated sign bits; vectors a small angle apart share long prefixes and come
+to stand close.  Every vector is compared with the ``window`` vectors before it, also across
+the borders of the sorted partitions.  What moves through the passes is an id, the bits and
+the vector rounded to 16-bit integers: its cosines are off by less than a known bound, so all
+but a thin band around the threshold is decided there, and the pairs in the band are looked up
+once and computed in double precision.  Links of all passes are united.
+
+*Passes.*  A label of N vectors needs about b = log2(N / window) common bits for a pair to stand
+in one window.  A pair at cosine 0.98 agrees on a bit with probability 0.936, or less where a
+label's vectors resemble each other (0.9 is assumed: vectors of a label at cosine 0.8 on
+average), so one pass finds it with probability 0.9^b and ``passes(N)`` passes miss it with
+probability ``miss`` at most.  The number follows each label's size and has no upper limit.
+
+A pair that reaches the threshold lies inside one component, so the number of links of a
+vector is counted exactly inside its component: blocks of its members meet each other, streamed;
+no pair is emitted.  A component of m vectors has 16 blocks of at least 256 and at most 65,536, so
+it costs 32 m row copies (2 m^2 / 65,536 for the largest) over 256 or more groups of tasks.
 
 Equal vectors of a label are one vector with a weight before anything is compared.
 
 Cases: null, empty or zero vectors, vectors with null or non-finite components,
 null labels and null ids link with nothing: n_links 0, their own component, kept.
-Vectors of different lengths are never compared.  Repeated rows count as copies;
-an empty table gives an empty result; other columns are not read.
+Vectors of different lengths are never compared; ids that are no integers are refused.
+Repeated rows count as copies; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import materialize, partitions
+from .shared import arrow_map, integer_ids, materialize, partitions, scratch
+
+BITS = 48  # of a pass's key
+AGREE = 0.9  # assumed probability that a linked pair agrees on a bit
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 16, window: int = 48, bits: int = 48, block: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def passes_for(n: int, window: int, miss: float) -> int:
+    """Passes after which a linked pair of a label of ``n`` vectors has been in one window, but for probability ``miss``."""
+    if n <= window + 1:
+        return 1
+    once = AGREE ** math.log2(n / window)
+    return max(2, math.ceil(math.log(miss) / math.log1p(-once)))
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, window: int = 48, miss: float = 1e-4, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector ``id_col, n_links, component_id, kept``."""
-    spark = vectors.sparkSession
-    n_parts = partitions(spark)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    integer_ids(vectors, id_col)
+    with scratch(vectors.sparkSession) as keep:
+        return keep(_labelled(vectors, threshold, window, miss, seed, id_col, vector_col, label_col), "near-vectors")
+
+
+def _labelled(vectors: DataFrame, threshold: float, window: int, miss: float, seed: int, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
     distinct = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    distinct = materialize(distinct, "vectors")
+    distinct = materialize(distinct.withColumn("dim", F.size("v")), "vectors")
 
-    links = _window_links(distinct, threshold, passes, window, bits, seed, n_parts)
+    links = materialize(_links(distinct, threshold, window, miss, seed), "links")
     labels = materialize(connected_components(links), "components")
     members = distinct.join(labels.withColumnRenamed("node", "rep"), "rep")
-    counted = _links_inside(members, threshold, block, n_parts)
+    counted = _links_inside(members, threshold)
 
     info = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
     info = info.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
@@ -58,56 +81,90 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, passes:
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _unit(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for v in column:
-        x = np.asarray(v.values, np.float64)
-        x = x / np.abs(x).max()
-        out.append(x / np.sqrt(x @ x))
-    return out
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _window_links(distinct: DataFrame, threshold: float, passes: int, window: int, bits: int, seed: int, n_parts: int) -> DataFrame:
-    """``a, b``: a spanning forest of the pairs found in each run of sorted vectors."""
-    kind = distinct.schema["rep"].dataType.simpleString()
-    ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # before squaring: no overflow
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+
+def _groups(column: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """(value, places) of each value of an integer column."""
+    values = np.asarray(column)
+    return [(int(v), np.flatnonzero(values == v)) for v in np.unique(values)]
+
+
+def _means(distinct: DataFrame) -> DataFrame:
+    """``label, dim, n, mean``: mean direction of each label, from sums that each batch makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = _unit(batch.column("v"))
-            for dim in sorted({len(x) for x in units}):
-                at = [i for i, x in enumerate(units) if len(x) == dim]
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng((seed, dim)).standard_normal((dim, passes * bits))
-                x = np.stack([units[i] for i in at])
-                signs = (x @ planes[dim] > 0).reshape(len(at), passes, bits)
-                keys = signs.astype(np.int64) @ weights
-                taken = batch.take(pa.array(at))
-                packed = pa.array([row.tobytes() for row in x], pa.binary())
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(at), pa.int32()), taken.column("label").cast(pa.string()), pa.array(keys[:, p]), taken.column("rep"), packed], names=["pass", "label", "key", "rep", "u"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[tuple] = []
+            for dim, at in _groups(batch.column("dim")):
+                part = batch.take(pa.array(at))
+                u, code = _unit(_matrix(part.column("v"), dim)), part.column("label").dictionary_encode()
+                index = np.asarray(code.indices)
+                sums = np.zeros((len(code.dictionary), dim))
+                np.add.at(sums, index, u)
+                n = np.bincount(index, minlength=len(sums))
+                yield pa.RecordBatch.from_arrays([code.dictionary, pa.array([dim] * len(sums), pa.int32()), pa.array(n), pa.array(list(sums), pa.list_(pa.float64()))], names=["label", "dim", "n", "sums"])
+
+    parts = arrow_map(distinct.select("label", "dim", "v"), run, "label string, dim int, n long, sums array<double>")
+    places = parts.select("label", "dim", "n", F.posexplode("sums").alias("pos", "s")).groupBy("label", "dim", "pos").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    return places.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("ordered")).select("label", "dim", "n", F.transform("ordered", lambda x: x["m"]).alias("mean"))
+
+
+def _links(distinct: DataFrame, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
+    """``a, b``: pairs at the threshold that some window holds, as a spanning forest of each run of rows."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                rows = tail + list(zip(part.column("pass").to_pylist(), part.column("label").to_pylist(), part.column("rep").to_pylist(), part.column("u").to_pylist(), strict=True))
-                pairs = _near(rows, len(tail), threshold, window)
-                tail = rows[-window:]
-                if pairs:
-                    a, b = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
-
-    keyed = distinct.select("rep", "label", "v").mapInArrow(project, f"pass int, label string, key long, rep {kind}, u binary")
-    ordered = keyed.repartitionByRange(n_parts, "pass", "label", F.length("u"), "key", "rep").sortWithinPartitions("pass", "label", F.length("u"), "key", "rep")
-    return ordered.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
-
-
-def _near(rows: list[tuple], old: int, threshold: float, window: int) -> list[tuple]:
-    """Links of each row with the ``window`` rows before it, as a spanning forest; the first ``old`` rows are only partners."""
+            for dim, at in _groups(batch.column("dim")):
+                part = batch.take(pa.array(at))
+                u = _unit(_matrix(part.column("v"), dim))
+                shifted = u - _matrix(part.column("mean"), dim)
+                q = np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 32767).astype("<i2")
+                times = np.array([passes_for(n, window, miss) for n in part.column("n").to_pylist()])
+                for p in range(int(times.max())):
+                    if (dim, p) not in planes:
+                        planes[dim, p] = np.random.default_rng((seed, dim, p)).standard_normal((dim, BITS))
+                    some = np.flatnonzero(times > p)
+                    keys = (shifted[some] @ planes[dim, p] > 0).astype(np.int64) @ weights
+                    sent = part.take(pa.array(some))
+                    packed = pa.array([row.tobytes() for row in q[some]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(some), pa.int32()), sent.column("label"), sent.column("dim"), pa.array(keys), sent.column("rep"), packed], names=["pass", "label", "dim", "key", "rep", "q"])
+
+    order = ["pass", "label", "dim", "key", "rep"]
+    keyed = arrow_map(distinct.select("rep", "label", "dim", "v").join(_means(distinct), ["label", "dim"]), project, "pass int, label string, dim int, key long, rep long, q binary")
+    ordered = keyed.repartitionByRange(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
+    found = materialize(arrow_map(ordered.select("pass", "label", "rep", "q"), _compared(threshold, window), f"a long, b long, sure boolean, {EDGE}"), "windows")
+    # the last rows of a partition and the first ones of the next meet by the border between them
+    edges = found.where("border is not null").select("border", "side", "pos", "pass", "label", "rep", "q")
+    ordered = edges.repartition(partitions(distinct.sparkSession), "border").sortWithinPartitions("border", "side", "pos")
+    across = arrow_map(ordered, _across(threshold, window), "a long, b long, sure boolean")
+    pairs = materialize(found.where("a is not null").select("a", "b", "sure").union(across).distinct(), "pairs")
+
+    # pairs in the band around the threshold: once in double precision
+    left, right = distinct.select(F.col("rep").alias("a"), F.col("v").alias("x")), distinct.select(F.col("rep").alias("b"), F.col("v").alias("y"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    scaled = lambda v: F.transform(v, lambda t: t / F.array_max(F.transform(v, F.abs)))
+    band = pairs.where("not sure").join(left, "a").join(right, "b").select("a", "b", scaled(F.col("x")).alias("x"), scaled(F.col("y")).alias("y"))
+    band = band.where(dot(F.col("x"), F.col("y")) >= threshold * F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))).select("a", "b")
+    return pairs.where("sure").select("a", "b").union(band)
+
+
+EDGE = "border int, side int, pos int, pass int, label string, rep long, q binary"
+
+
+def _pairs_near(rows: list[tuple], old: int, threshold: float, window: int) -> list[tuple[int, int, bool]]:
+    """Pairs of each row ``pass, label, rep, q`` with the ``window`` rows before it; the first ``old`` rows are only partners.
+
+    Pairs over the band are sure and thinned to a spanning forest; those in the band are given as far as they join two of its trees.
+    """
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -116,64 +173,124 @@ def _near(rows: list[tuple], old: int, threshold: float, window: int) -> list[tu
             i = parent[i]
         return i
 
-    links, start = [], 0
+    out, start = [], 0
     for end in range(1, len(rows) + 1):
         if end < len(rows) and rows[end][:2] == rows[start][:2] and len(rows[end][3]) == len(rows[start][3]):
             continue
-        x = np.frombuffer(b"".join(r[3] for r in rows[start:end])).reshape(end - start, -1)
+        x = np.frombuffer(b"".join(r[3] for r in rows[start:end]), "<i2").reshape(end - start, -1).astype(np.float64)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        band = 2 * math.sqrt(x.shape[1]) / 32767  # rounding turns a vector by less than half of this
+        open_ = []
         for lo in range(0, end - start, 256):
             hi = min(lo + 256, end - start)
             first = max(0, lo - window)
-            near = np.argwhere(x[lo:hi] @ x[first:hi].T >= threshold)
-            for i, j in (near + (lo, first)).tolist():
-                if j < i <= j + window and start + i >= old and (a := root(start + i)) != (b := root(start + j)):
+            cosine = x[lo:hi] @ x[first:hi].T
+            for i, j in (np.argwhere(cosine >= threshold - band) + (lo, first)).tolist():
+                if not j < i <= j + window or start + i < old:
+                    continue
+                if cosine[i - lo, j - first] < threshold + band:
+                    open_.append((start + i, start + j))
+                elif (a := root(start + i)) != (b := root(start + j)):
                     parent[a] = b
-                    links.append((rows[start + i][2], rows[start + j][2]))
+                    out.append((rows[start + i][2], rows[start + j][2], True))
+        out += [(rows[i][2], rows[j][2], False) for i, j in open_ if root(i) != root(j)]
         start = end
-    return links
+    return out
 
 
-def _links_inside(members: DataFrame, threshold: float, block: int, n_parts: int) -> DataFrame:
-    """``rep, links``: the weight of the other vectors of its component at the threshold or above."""
-    kind = members.schema["rep"].dataType.simpleString()
+def _compared(threshold: float, window: int):
+    """Windows inside a sorted partition; its first and last rows go along for the borders."""
+    names = ["a", "b", "sure", *(x.split()[0] for x in EDGE.split(", "))]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, x, total = None, [], None, None
+    def rows_of(links: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+        rows = [(*x, *[None] * 7) for x in links] + [(None, None, None, *x) for x in edges]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        tail: list[tuple] = []
+        head: list[tuple] = []
+        for batch in batches:
+            new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            head += new[: window - len(head)]
+            rows = tail + new
+            if links := _pairs_near(rows, len(tail), threshold, window):
+                yield rows_of(links, [])
+            tail = rows[-window:]
+        if tail:
+            yield rows_of([], [(here - 1, 1, i, *r) for i, r in enumerate(head)] + [(here, 0, i, *r) for i, r in enumerate(tail)])
 
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(asked, ids), pa.array(total.tolist(), pa.int64())], names=["rep", "links"])
+    return run
 
+
+def _across(threshold: float, window: int):
+    """Windows over each border: the rows of side 0 are partners of those of side 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            keys = list(zip(batch.column("component").to_pylist(), batch.column("target").to_pylist(), strict=True))
-            mine, reps, weights, units = batch.column("mine").to_pylist(), batch.column("rep").to_pylist(), batch.column("weight").to_pylist(), _unit(batch.column("v"))
+            for border, side, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(border, []).append((side, *row))
+            while len(held) > 1:  # borders come one after another
+                yield from result(held.pop(next(iter(held))))
+        for rows in held.values():
+            yield from result(rows)
+
+    def result(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        old = sum(r[0] == 0 for r in rows)
+        if links := _pairs_near([r[1:] for r in rows], old, threshold, window):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], names=["a", "b", "sure"])
+
+    return run
+
+
+def _links_inside(members: DataFrame, threshold: float) -> DataFrame:
+    """``rep, links``: the weight of the other vectors of its component at the threshold or above."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reps, x, total = None, [], [], None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "target", "source", "mine")), strict=True))
+            rep, weight, dims = np.asarray(batch.column("rep")), np.asarray(batch.column("weight")), batch.column("dim").to_pylist()
+            u = _unit(_matrix(batch.column("v"), dims[0])) if len(set(dims)) == 1 else None
             lo = 0
             for hi in range(1, len(keys) + 1):
                 if hi < len(keys) and keys[hi] == keys[lo]:
                     continue
-                if keys[lo] != now:
-                    if asked:
-                        yield result()
-                    now, asked, x, total = keys[lo], [], [], None
-                own = [i for i in range(lo, hi) if mine[i]]
-                asked += [reps[i] for i in own]
-                x = [*x, *(units[i] for i in own)] if isinstance(x, list) else x
-                others = [i for i in range(lo, hi) if not mine[i]]
-                if others:
+                if keys[lo][:3] != now:
+                    if now is not None:
+                        yield result(reps, total)
+                    now, reps, x, total = keys[lo][:3], [], [], None
+                part = u[lo:hi] if u is not None else _unit(_matrix(batch.column("v").slice(lo, hi - lo), dims[lo]))
+                if keys[lo][3]:
+                    reps.append(rep[lo:hi])
+                    x.append(part)
+                else:
                     if total is None:
-                        x, total = np.stack(x), np.zeros(len(asked), np.int64)
-                    y, w = np.stack([units[i] for i in others]), np.array([weights[i] for i in others])
-                    same = np.array(asked)[:, None] == np.array([reps[i] for i in others])[None, :]
-                    total += ((x @ y.T >= threshold) & ~same) @ w
+                        reps, x = np.concatenate(reps), np.concatenate(x)
+                        total = np.zeros(len(x), np.int64)
+                    for i in range(0, len(part), 1024):
+                        y, w, r = part[i : i + 1024], weight[lo + i : min(lo + i + 1024, hi)], rep[lo + i : min(lo + i + 1024, hi)]
+                        for j in range(0, len(x), 4096):
+                            near = (x[j : j + 4096] @ y.T >= threshold) & (reps[j : j + 4096, None] != r[None, :])
+                            total[j : j + 4096] += near @ w
                 lo = hi
-        if asked:
-            yield result()
+        if now is not None:
+            yield result(reps, total)
+
+    def result(reps: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total)], names=["rep", "links"])
 
-    ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
+    block = F.least(F.lit(65536), F.greatest(F.lit(256), F.ceil(F.col("m") / 16)))
     split = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("target", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a vector comes as a partner of every block and, first, as a member of its own
-    copies = F.when(F.col("own") == F.col("target"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    sent = split.withColumn("mine", F.explode(copies)).select("component", "target", "mine", "rep", "weight", "v")
-    ordered = sent.repartition(n_parts, "component", "target").sortWithinPartitions("component", "target", F.col("mine").desc())
-    return ordered.mapInArrow(count, f"rep {kind}, links long")
+    split = split.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a vector meets every block: first as one that is counted for, then as a partner
+    both = F.array(F.struct(F.lit(True).alias("mine"), F.col("own").alias("target"), F.col("other").alias("source")), F.struct(F.lit(False).alias("mine"), F.col("other").alias("target"), F.col("own").alias("source")))
+    sent = split.select("component", "rep", "weight", "dim", "v", F.inline(both)).select("component", "target", "source", "mine", "rep", "weight", "dim", "v")
+    key = ["component", "target", "source"]
+    ordered = sent.repartition(partitions(members.sparkSession), *key).sortWithinPartitions(*key, F.col("mine").desc())
+    return arrow_map(ordered, count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))

@@ -154,8 +154,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
         enc = held(ByteEncoder, tokenizer)
         for batch in slices(batches, "text", 2 << 20):
             out = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.encode(text), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(batch.column("id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, end = 0, (len(ids) - 1) % capacity + 1
                 piece = 0
                 while start < len(ids):

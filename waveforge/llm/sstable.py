@@ -1,8 +1,8 @@
 """Token ids in sorted-string-table shards.
 
-Documents are range-partitioned by id and sorted, each task encodes its range
-and streams it into one shard file; so the shards in order hold all documents in
-ascending id order.  A shard is
+Documents are encoded where they are read, so two bytes a token move and no text.
+Then they are range-partitioned by id and sorted, and each task streams its range into
+one shard file; so the shards in order hold all documents in ascending id order.  A shard is
 
     blocks | block index | Bloom filter | footer
 
@@ -21,8 +21,9 @@ A file's name carries a random part and is only announced when it is complete,
 so a task that runs twice leaves a stray file but no wrong result.  Files are
 written through ``pyarrow.fs`` to the shared folder, whatever store it is in.
 
-Cases: null text is empty (only the end id); repeated ids are kept, next to each
-other, ordered by text; other columns are not read; an empty table has no shards.
+Cases: null text is empty (only the end id); null ids come first; ids that are no
+integers are refused; repeated ids are kept, next to each other, ordered by their token
+ids; other columns are not read; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import WordEncoder
-from .shared import held, new_folder, partitions, slices
+from .shared import arrow_map, held, integer_ids, materialize, new_folder, partitions, scratch, slices
+from .words import mix
 
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _MAGIC = b"WFSSTAB1"
@@ -80,7 +81,7 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _probes(keys: list[bytes], bits: int) -> np.ndarray:
-    h = np.array([xxhash.xxh3_128_intdigest(k) & (1 << 64) - 1 for k in keys], np.uint64)
+    h = mix(np.frombuffer(b"".join([k.rjust(8, b"\0") for k in keys]), ">u8"))
     step = (h >> np.uint64(32)) | np.uint64(1)
     return (h[:, None] + np.arange(_PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
 
@@ -190,25 +191,38 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+MANIFEST = "shard long, path string, n_docs long, n_tokens long, first_id long, last_id long"
+
+
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode every document and write the shards; the manifest: ``shard, path, n_docs, n_tokens, first_id, last_id, start``, a row a shard."""
     spark = docs.sparkSession
+    integer_ids(docs, id_col)
     folder = folder or new_folder(spark, "sstable")
-    end = b"" if end_id is None else end_id.to_bytes(width, "little")
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = held(WordEncoder, tokenizer)
+        for batch in slices(batches, "text", 8 << 20, 1 << 16):
+            ids, bounds = enc.encode(batch.column("text"))
+            if end_id is not None:
+                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            raw = [None, pa.py_buffer((bounds * enc.width).astype(np.int32)), pa.py_buffer(ids.astype(enc.dtype))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([enc.width] * batch.num_rows, pa.int32()), pa.Array.from_buffers(pa.binary(), batch.num_rows, raw)], names=["id", "width", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, first, last = None, None, None
         store, root = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-        enc = held(WordEncoder, tokenizer)
-        for batch in slices(batches, "text", 8 << 20, 1 << 16):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
             if writer is None:
-                writer = ShardWriter(store.open_output_stream(path, compression=None), width)
+                writer = ShardWriter(store.open_output_stream(path, compression=None), batch.column("width")[0].as_py())
                 first = batch.column("id")[0].as_py()
-            for doc, ids in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
-                writer.add(key_of(doc), ids + end)
+            for doc, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                writer.add(key_of(doc), ids)
                 last = doc
         if writer is not None:
             writer.close()
@@ -216,14 +230,15 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     arrow = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(shards or partitions(spark), "id").sortWithinPartitions("id", "text")
-    manifest, start = [], 0
-    for row in sorted(rows.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long, first_id long, last_id long").collect()):
-        manifest.append((*row, start))
-        start += row["n_tokens"]
-    return spark.createDataFrame(manifest, "shard long, path string, n_docs long, n_tokens long, first_id long, last_id long, start long").coalesce(1) if not manifest else spark.createDataFrame(
-        manifest, "shard long, path string, n_docs long, n_tokens long, first_id long, last_id long, start long"
-    ).repartition(len(manifest), "shard")
+    with scratch(spark):
+        # written once: the range partitioner reads its input twice, which would encode twice
+        encoded = materialize(arrow_map(rows, encode, "id long, width int, ids binary", holds=True), "encoded")
+        ordered = encoded.repartitionByRange(shards or partitions(spark), "id").sortWithinPartitions("id", "ids")
+        manifest, start = [], 0
+        for row in sorted(arrow_map(ordered, write, MANIFEST).collect()):  # a row a shard
+            manifest.append((*row, start))
+            start += row["n_tokens"]
+    return spark.createDataFrame(manifest, MANIFEST + ", start long").repartition(max(1, len(manifest)), "shard")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -251,26 +266,31 @@ def read_shards(spark: SparkSession, manifest: DataFrame, folder: str | None = N
         return pa.RecordBatch.from_arrays(columns[: 4 + keep_ids], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + keep_ids])
 
     types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    return manifest.select("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return arrow_map(manifest.select("path", "start"), read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, ids: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, ids`` of the asked documents: a range join of the ids with the manifest, then one binary search an id and shard."""
+    """``doc_id, ids`` of the asked documents, also of a null id: a bisection of the shards' first ids (a row a shard), then one binary search an id and shard."""
+    integer_ids(ids, id_col)
+    shards = sorted((r["first_id"] if r["first_id"] is not None else -(1 << 63), r["shard"], r["path"]) for r in manifest.select("first_id", "shard", "path").collect())
+    firsts, paths = np.array([x[0] for x in shards], np.int64), [x[2] for x in shards]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(firsts, np.asarray(batch.column("id").fill_null(-(1 << 63))), "right") - 1
+            there = pa.array(at >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(there), pa.array(at[at >= 0].astype(np.int32))], names=["id", "at"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        opened: dict[str, ShardReader] = {}
+        now, shard = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["path"] not in opened:
-                    opened.clear()
-                    opened[row["path"]] = ShardReader(store, row["path"])
-                shard = opened[row["path"]]
-                out += [{"doc_id": row["id"], "ids": np.frombuffer(v, f"<u{shard.width}").tolist()} for v in shard.get(key_of(row["id"]))]
+            for doc, at in zip(batch.column("id").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if at != now:
+                    now, shard = at, ShardReader(store, paths[at])
+                out += [{"doc_id": doc, "ids": np.frombuffer(v, f"<u{shard.width}").tolist()} for v in shard.get(key_of(doc))]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    asked = ids.select(F.col(id_col).cast("long").alias("id"))
-    where = (F.col("id") >= F.coalesce("first_id", F.lit(-(1 << 63)))) & (F.col("id") <= F.col("last_id"))
-    hits = asked.join(manifest.select("path", "first_id", "last_id"), where | (F.col("id").isNull() & F.col("first_id").isNull()))
-    return hits.select("id", "path").repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(find, "doc_id long, ids array<long>")
+    hits = arrow_map(ids.select(F.col(id_col).cast("long").alias("id")), place, "id long, at int")
+    return arrow_map(hits.repartition(partitions(spark), "at").sortWithinPartitions("at"), find, "doc_id long, ids array<long>")
