@@ -332,6 +332,17 @@ def test_a_hot_length_that_fits_once_is_one_pattern():
     assert dict(packing.plan({600: 20_000, 424: 5}, 1024)) == {((600, 1), (424, 1)): 5, ((600, 1),): 19_995}
 
 
+@pytest.mark.parametrize("counts", [{1024: 10**9}, {600: 10**9}, {1019: 10**8, 4: 10**8, 2: 3}, {500: 10**9 + 1}, {700: 10**9, 200: 10**9, 120: 10**9, 3: 7}, {n: 10**7 + n for n in range(1, 1025)}])
+def test_the_plan_does_not_grow_with_the_counts(counts):
+    patterns = packing.plan(counts, 1024)
+    placed = {}
+    for pattern, times in patterns:
+        assert times > 0 and sum(x * n for x, n in pattern) <= 1024
+        for x, n in pattern:
+            placed[x] = placed.get(x, 0) + n * times
+    assert placed == counts and len(patterns) <= 8 * len(counts)
+
+
 def test_reduction_keeps_an_optimum():
     for seed in range(60):
         r = random.Random(seed)

@@ -8,15 +8,16 @@ that table reaches the driver.  There:
    dominates all others with it is fixed for good: alone where not even the
    shortest fits beside it; with its exact complement; with the longest that
    fits where at most one more piece does, or where that one is at least as long
-   as the best pair.  Each fix keeps some optimal packing reachable; fixes shrink
-   the instance and are repeated until none applies.
+   as the best pair.  Each fix keeps some optimal packing reachable, holds for as many
+   pieces as both lengths have, and shrinks the instance; so there are at most two
+   fixes a length, whatever the counts.
 2. *Best fit, longest first*, packs the rest: lengths go to the fullest open
    sequences that take them, whole counts at a time.
 
-The outcome is a table of patterns with multiplicities (a few thousand rows).
-Pieces get a rank within their length, dealt out over salted sub-groups so that
-a length shared by a third of all rows is no hot task, and rank ranges map to
-sequence and offset.
+The outcome is a table of patterns with multiplicities (at most a few for each pair of
+lengths).  Pieces get a rank within their length, dealt out over salted sub-groups, one
+for every ``SALTED`` pieces or partition, so that a length shared by a third of all rows
+is no hot task, and rank ranges map to sequence and offset: a row a length, with its ranges.
 
 Cases: null text is empty (one end id); null ids stay null; repeated rows are
 packed as often as they occur; an empty table gives an empty result; other
@@ -41,6 +42,7 @@ from .shared import arrow_map, held, materialize, partitions, slices
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 #: Rows of the slot table up to which it is broadcast (about 60 bytes each).
 MAX_BROADCAST_SLOTS = 50_000
+SALTED = 500_000
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
@@ -85,7 +87,8 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                     pair = len(low) > 1 and low[0] + low[1] <= room
                     if pair and not (len(low) < 3 or sum(low) > room) or pair and _best_pair(order, left, w, room) > best:
                         break
-                    take(w, best, times=1 if pair or best == w else min(left[w], left[best]))
+                    # taking both away shrinks the pairs and raises the least sums, so the same fix holds until one length is used up
+                    take(w, best, times=left[w] // 2 if best == w else min(left[w], left[best]))
                 changed = True
     return fixed, left
 
@@ -175,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     """Per piece: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``."""
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), "pieces")
-    salts = partitions(spark)
+    salts = max(partitions(spark), pieces.count() // SALTED)
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -190,7 +193,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         sequence += times
     if dict(next_rank) != counts:
         raise AssertionError("the plan doesn't hold every piece once")
-    table = spark.createDataFrame(slots, "length long, low long, high long, each long, base long, place long")
+    ranges = F.array_sort(F.collect_list(F.struct("low", "high", "each", "base", "place"))).alias("ranges")
+    table = spark.createDataFrame(slots, "length long, low long, high long, each long, base long, place long").groupBy("length").agg(ranges)
     if len(slots) <= MAX_BROADCAST_SLOTS:
         table = F.broadcast(table)
 
@@ -198,10 +202,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     shifts = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("r", F.row_number().over(within) - 1).join(shifts, ["length", "salt"]).withColumn("rank", F.col("shift") + F.col("r"))
-    placed = ranked.join(table, "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    at = F.col("rank") - F.col("low")
+    slot = F.get(F.filter("ranges", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"])), 0)
+    placed = ranked.join(table, "length").withColumn("slot", slot)
+    at = F.col("rank") - F.col("slot.low")
     return placed.select(
         *["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids],
-        (F.col("base") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("place") + at % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        (F.col("slot.base") + F.floor(at / F.col("slot.each"))).cast("long").alias("sequence_id"),
+        (F.col("slot.place") + at % F.col("slot.each") * F.col("length")).cast("long").alias("offset"),
     )
