@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import waveform
+
 MAX_SHORT_ISI = 0.05
 
 
@@ -21,8 +23,8 @@ def _missing(x: Column) -> Column:
     return x.isNull() | F.isnan(x)
 
 
-def final_grades(grades: DataFrame) -> DataFrame:
-    """``grades`` with ``final_grade`` and ``confidence``.
+def final_grades(grades: DataFrame, few_wires: int = 2) -> DataFrame:
+    """``grades`` with ``final_grade`` and ``confidence``; ``few_wires``: a cluster on so many wires or fewer has grade -5.
 
     Rules apply in order, the first that holds decides; a comparison with NaN or
     null never holds.  Columns: snr, share, mpc, below, iso, wires, width,
@@ -40,7 +42,7 @@ def final_grades(grades: DataFrame) -> DataFrame:
         .when(_below(c("share"), 0.25), -2)
         .when(_above(c("mpc"), 0.75), -3)
         .when(_above(c("below"), 0.35) & _below(c("iso"), 1), -4)
-        .when(_below(c("wires"), 2) | F.coalesce(c("wires") == 2, F.lit(False)), -5)
+        .when(_below(c("wires").cast("double"), few_wires + 0.5), -5)
         .when(_below(c("width"), 90), -6)
         .when(_above(c("short_isi"), MAX_SHORT_ISI), -7)
         .when(_above(c("rate"), 50), -8)
@@ -92,3 +94,50 @@ def overlaps(members: DataFrame, a: str, b: str, item: str) -> DataFrame:
     na = both.groupBy(a).agg(F.sum("common").alias("na"))
     nb = both.groupBy(b).agg(F.sum("common").alias("nb"))
     return both.join(na, a).join(nb, b).select(F.col(a).alias("a"), F.col(b).alias("b"), "common", (F.col("common") / F.col("na")).alias("of_a"), (F.col("common") / F.col("nb")).alias("of_b"))
+
+
+def find_ratio(graded: DataFrame, found_below: float = 0.75, least: int = 200) -> DataFrame:
+    """``final_grade, clusters, found, ratio``: shares of clusters whose nearest other one is under ``found_below``.
+
+    Clusters of grade 3 and better count from ``least`` rows on.
+    """
+    hit = F.sum((F.col("min_bhat") < found_below).cast("int"))
+    rows = graded.where((F.col("n") >= least) | (F.col("final_grade") <= 2))
+    return rows.groupBy("final_grade").agg(F.count("*").alias("clusters"), hit.alias("found"), (hit / F.count("*")).alias("ratio"))
+
+
+def half_peak_range(wave: str, percent: float) -> Column:
+    """``start, end`` (0-based) of the run around the largest sample in which samples reach ``percent`` of it.
+
+    The run stays between the last local minimum before the peak and the last sample before the wave falls under that minimum.
+    """
+    w = F.col(wave)
+    n = F.size(w)
+    places = F.sequence(F.lit(0), n - 1)
+    at, top = waveform.first_argmax(w), F.array_max(w)
+    first = F.array_max(F.filter(waveform.local_valleys(w), lambda i: i < at))
+    low = F.coalesce(first, F.lit(0))
+    fall = F.array_min(F.filter(places, lambda i: (i > low) & (F.get(w, i) < F.get(w, low))))
+    high = F.coalesce(fall - 1, n - 1)
+    before = F.array_max(F.filter(places, lambda i: (i < at) & (F.get(w, i) < top * percent)))
+    after = F.array_min(F.filter(places, lambda i: (i > at) & (F.get(w, i) < top * percent)))
+    return F.struct(F.greatest(low, F.coalesce(before + 1, F.lit(0))).alias("start"), F.least(high, F.coalesce(after - 1, n - 1)).alias("end"))
+
+
+def half_peak_spread(rows: DataFrame, key: str, wave: str, mean: str, start: str, end: str) -> DataFrame:
+    """``key, cv, low_share``: the largest variation of a sample in the range, and the share of waves that the mean explains to under 0.7."""
+    part = lambda c: F.slice(c, F.col(start) + 1, F.col(end) - F.col(start) + 1)
+    cut = rows.select(key, part(wave).alias("v"), part(mean).alias("m"))
+    average = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    centred = cut.withColumns({"av": average("v"), "am": average("m")}).select(key, "v", F.transform("v", lambda x: x - F.col("av")).alias("cv"), F.transform("m", lambda x: x - F.col("am")).alias("cm"))
+    share = waveform.dot(F.col("cv"), F.col("cm")) * waveform.dot(F.col("cv"), F.col("cm")) / F.nullif(waveform.dot(F.col("cm"), F.col("cm")) * waveform.dot(F.col("cv"), F.col("cv")), F.lit(0.0))
+    low = centred.groupBy(key).agg(F.avg((share < 0.7).cast("int")).alias("low_share"))
+    at = centred.select(key, F.posexplode("v").alias("pos", "x")).groupBy(key, "pos").agg((F.stddev("x") / F.nullif(F.avg("x"), F.lit(0.0))).alias("cv"))
+    return at.groupBy(key).agg(F.max("cv").alias("cv")).join(low, key)
+
+
+def valley_after_peak(wave: str) -> Column:
+    """Whether a local minimum follows the highest local peak."""
+    w = F.col(wave)
+    peaks = F.transform(waveform.local_peaks(w), lambda i: F.struct((-F.get(w, i)).alias("v"), i.alias("i")))
+    return F.coalesce(F.array_max(waveform.local_valleys(w)) > F.array_min(peaks)["i"], F.lit(False))

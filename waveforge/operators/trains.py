@@ -19,7 +19,7 @@ def share(condition: Column, among: Column) -> Column:
 
 def train_report(train: DataFrame, short: float, burst: tuple[float, float]) -> DataFrame:
     """Per unit: counts, interval statistics, rate, share of the recording, stationarity.  Two shuffles of the train, of which one only carries sums."""
-    whole = train.agg(F.median("ts_us").alias("_m"), F.avg("ts_us").alias("mean_ts"), F.stddev("ts_us").alias("std_ts"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")).drop("_m")
+    whole = train.agg(F.avg("ts_us").alias("mean_ts"), F.stddev("ts_us").alias("std_ts"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     unit = intervals(train).groupBy("unit").agg(
         F.count("*").alias("n_spikes"),
         F.avg("isi").alias("isi_mean"),

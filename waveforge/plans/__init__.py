@@ -1 +1,3 @@
+"""Query plans; importing the package registers all of them in :mod:`.catalogue`."""
 
+from . import catalogue, isolation, recordings  # noqa: F401

@@ -93,7 +93,7 @@ def asof_nearest(spark, sf_dir):
 def zscore_detect(spark, sf_dir):
     train = V.trains(spark, sf_dir)
     stats = train.groupBy("wire").agg(F.avg("amplitude").alias("m"), F.stddev("amplitude").alias("s"))
-    z = train.join(F.broadcast(stats), "wire").withColumn("z", (F.col("amplitude") - F.col("m")) / F.col("s"))
+    z = train.join(stats, "wire").withColumn("z", (F.col("amplitude") - F.col("m")) / F.col("s"))
     near = Window.partitionBy("wire").orderBy("ts_us", "event_id")
     low = F.lit(float("-inf"))
     z = z.withColumn("a", F.coalesce(F.lag("z").over(near), low)).withColumn("b", F.coalesce(F.lead("z").over(near), low))
@@ -104,7 +104,7 @@ def zscore_detect(spark, sf_dir):
 def minmax_norm(spark, sf_dir):
     train = V.trains(spark, sf_dir)
     ends = train.agg(F.min("amplitude").alias("lo"), F.max("amplitude").alias("hi"))
-    return train.crossJoin(F.broadcast(ends)).select("event_id", r6((F.col("amplitude") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 2 - 1, "scaled"))
+    return train.crossJoin(ends).select("event_id", r6((F.col("amplitude") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 2 - 1, "scaled"))
 
 
 @query(f"""with {F2}, e as (select wire, min(amplitude) as lo, max(amplitude) as hi, avg(amplitude) * 0.25 as threshold from t group by wire),
@@ -115,7 +115,7 @@ def minmax_norm(spark, sf_dir):
 def incompleteness(spark, sf_dir):
     train = V.trains(spark, sf_dir)
     limits = train.groupBy("wire").agg((F.avg("amplitude") * 0.25).alias("limit"))
-    got = grading.incompleteness(train.join(F.broadcast(limits), "wire"), "wire", "amplitude", F.col("limit"))
+    got = grading.incompleteness(train.join(limits, "wire"), "wire", "amplitude", F.col("limit"))
     return got.select("wire", r6("below", "below"))
 
 
@@ -130,7 +130,7 @@ def iso_dist(spark, sf_dir):
 # -- waveforms -------------------------------------------------------------------------------------
 
 
-@query(f"with {F1} select wire, avg(len(list_filter(wf, lambda x: x <> 0)) > 0) > 0.5 as live from ww group by wire".replace("avg(len(list_filter(wf, lambda x: x <> 0)) > 0)", "avg((len(list_filter(wf, lambda x: x <> 0)) > 0)::int)"))
+@query(f"with {F1} select wire, avg((len(list_filter(wf, lambda x: x <> 0)) > 0)::int) > 0.5 as live from ww group by wire")
 def live_wires(spark, sf_dir):
     rows = V.wires(V.waveforms(spark, sf_dir))
     return rows.groupBy("wire").agg((F.avg(F.exists("wf", lambda x: x != 0).cast("int")) > 0.5).alias("live"))
@@ -185,7 +185,7 @@ def peaks_max(spark, sf_dir):
 def peaks_mode_aligned(spark, sf_dir):
     rows = V.wires(V.waveforms(spark, sf_dir))
     places = rows.groupBy("wire").agg(F.mode(W.first_argmax(F.col("wf")), True).alias("place"))
-    return rows.join(F.broadcast(places), "wire").select("spike_id", "wire", r6(F.get("wf", F.col("place")), "peak"))
+    return rows.join(places, "wire").select("spike_id", "wire", r6(F.get("wf", F.col("place")), "peak"))
 
 
 @query(f"""with {F1}, a as (select spike_id, greatest(list_max(w1), list_max(w2)) as top, case when list_max(w1) >= list_max(w2) then 1 else 2 end as wire from w)
@@ -239,13 +239,12 @@ def _xy(spark, sf_dir):
     return V.waveforms(spark, sf_dir).select("spike_id", "ts_us", "cluster_id", F.array_max("w1").alias("a"), F.array_max("w2").alias("b"))
 
 
-@query(f"""with {F1}, {XY}, c as (select cluster_id, arg_min(wire, (-n, wire)) as wire from (select cluster_id, case when a >= b then 1 else 2 end as wire, count(*) as n from x group by 1, 2) group by 1)
-  select cluster_id, any_value(wire) as wire, round(stddev_samp(case wire when 1 then a else b end) / avg(case wire when 1 then a else b end), 6) as cv from x join c using (cluster_id) group by cluster_id""")
+@query(f"""with {F1}, {XY} select cluster_id, case when avg(a) >= avg(b) then 1 else 2 end as wire,
+  round(case when avg(a) >= avg(b) then stddev_samp(a) / avg(a) else stddev_samp(b) / avg(b) end, 6) as cv from x group by cluster_id""")
 def peak_cv(spark, sf_dir):
-    rows = _xy(spark, sf_dir)
-    wire = rows.groupBy("cluster_id").agg(F.mode(F.when(F.col("a") >= F.col("b"), 1).otherwise(2), True).alias("wire"))
-    v = F.when(F.col("wire") == 1, F.col("a")).otherwise(F.col("b"))
-    return rows.join(F.broadcast(wire), "cluster_id").groupBy("cluster_id").agg(F.first("wire").alias("wire"), r6(F.stddev(v) / F.avg(v)).alias("cv"))
+    cv = lambda x: F.stddev(x) / F.avg(x)
+    first = F.avg("a") >= F.avg("b")  # the wire of the highest mean peak
+    return _xy(spark, sf_dir).groupBy("cluster_id").agg(F.when(first, 1).otherwise(2).alias("wire"), r6(F.when(first, cv("a")).otherwise(cv("b"))).alias("cv"))
 
 
 @query(f"with {F3} select tetrode, cluster_id, count(*) as n, round(avg(p1), 6) as mu_p1, round(avg(p2), 6) as mu_p2, round(covar_samp(p1, p1), 6) as c_p1_p1, round(covar_samp(p1, p2), 6) as c_p1_p2, round(covar_samp(p2, p2), 6) as c_p2_p2 from p group by 1, 2")
@@ -261,7 +260,7 @@ MAHAL = "(bb * (a - ma) * (a - ma) - 2 * ab * (a - ma) * (b - mb) + aa * (b - mb
 def _mahal(spark, sf_dir, sample=True):
     rows = _xy(spark, sf_dir)
     table = moments.moments(rows, ["cluster_id"], ["a", "b"], sample)
-    return rows.join(F.broadcast(table), "cluster_id").withColumn("d", moments.mahalanobis_2d("a", "b"))
+    return rows.join(table, "cluster_id").withColumn("d", moments.mahalanobis_2d("a", "b"))
 
 
 @query(f"with {F1}, {XY}, {MOM} select spike_id, cluster_id, round({MAHAL}, 6) as d from x join m using (cluster_id)")
@@ -309,11 +308,11 @@ def core_topk(spark, sf_dir):
 def gaussian_fill(spark, sf_dir):
     rows = _xy(spark, sf_dir)
     table = moments.moments(rows, ["cluster_id"], ["a", "b"], sample=False)
-    own = rows.join(F.broadcast(table), "cluster_id").withColumn("d", moments.mahalanobis_2d("a", "b"))
+    own = rows.join(table, "cluster_id").withColumn("d", moments.mahalanobis_2d("a", "b"))
     limits = own.groupBy("cluster_id").agg((F.median("d") + F.stddev("d")).alias("limit"))
     # every row meets the table of clusters, a few rows; no pair of rows is made
     clusters = table.join(limits, "cluster_id")
-    hit = rows.withColumnRenamed("cluster_id", "own").crossJoin(F.broadcast(clusters)).where((F.col("own") == F.col("cluster_id")) | (moments.mahalanobis_2d("a", "b") < F.col("limit")))
+    hit = rows.withColumnRenamed("cluster_id", "own").crossJoin(clusters).where((F.col("own") == F.col("cluster_id")) | (moments.mahalanobis_2d("a", "b") < F.col("limit")))
     return hit.select("cluster_id", "spike_id")
 
 
@@ -326,7 +325,7 @@ def box_removal(spark, sf_dir):
     high = lambda d: F.least(F.max(d), F.avg(d) + 3 * F.stddev(d))
     boxes = rows.where(member).groupBy("cluster_id").agg(low("p1").alias("l1"), high("p1").alias("h1"), low("p2").alias("l2"), high("p2").alias("h2"))
     inside = (F.col("p1") > F.col("l1")) & (F.col("p1") < F.col("h1")) & (F.col("p2") > F.col("l2")) & (F.col("p2") < F.col("h2"))
-    return rows.where(~member).join(F.broadcast(boxes.drop("cluster_id")), inside, "left_anti").select("item")
+    return rows.where(~member).join(boxes.drop("cluster_id"), inside, "left_anti").select("item")
 
 
 @query("""with c as (select o_orderstatus as a, o_orderpriority as b, count(*) as common from orders group by 1, 2)
@@ -357,59 +356,6 @@ def hist_nd(spark, sf_dir):
     return rows.groupBy(F.floor(F.col("p1") / 10).alias("b1"), F.floor(F.col("p2") / 10).alias("b2")).agg(F.count("*").alias("n"), r6(F.avg("p3")).alias("mean3"))
 
 
-@query(f"""with {F3}, c as (select floor(p1 / 10)::bigint as x, floor(p2 / 10)::bigint as y, count(*) as n from p group by 1, 2),
-  m as (select c.x, c.y, any_value(c.n) as n, avg(o.n) as m from c join c o on abs(c.x - o.x) <= 1 and abs(c.y - o.y) <= 1 group by 1, 2)
-  select item from p join m on floor(p1 / 10) = x and floor(p2 / 10) = y where n > 1.0 * m""")
-def density_filter(spark, sf_dir):
-    rows = V.peaks(spark, sf_dir).withColumn("x", F.floor(F.col("p1") / 10)).withColumn("y", F.floor(F.col("p2") / 10))
-    cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-    # each occupied cell is sent to its neighbours: an equi-join of cells, not a range join of rows
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    sent = cells.select("x", "y", "n", F.inline(steps)).select((F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), "n")
-    mean = sent.groupBy("x", "y").agg(F.avg("n").alias("m"))
-    dense = cells.join(mean, ["x", "y"]).where("n > m").select("x", "y")
-    return rows.join(dense, ["x", "y"], "left_semi").select("item")
-
-
-GRADES = """g as (select user_id, 0.3 * (value_avg / 100) as snr, 0.2 + n % 7 / 10.0 as share, 0.1 * (n % 9) as mpc, 0.05 * (n % 8) as below, 0.5 * (user_id % 13) as iso, 2 + user_id % 3 as wires, 80 + 3 * (user_id % 11) as width,
-  0.01 * (n % 6) as short_isi, 1.0 * (user_id % 60) as rate, 0.04 * (user_id % 9) as lratio, user_id % 10 <> 0 as valley, case when user_id % 4 = 0 then 'nan'::double else 0.4 * (user_id % 7) end as bhat_mua,
-  case when user_id % 2 = 0 then 'infinity'::double else 0.3 * (user_id % 5) end as bhat_near, 0.6 * (user_id % 10) as min_bhat, case when user_id % 3 = 0 then 'nan'::double else 0.5 * (user_id % 6) end as bhat_unsorted
-  from (select user_id, count(*) as n, 0.1 * (user_id % 9) * 100 as value_avg from events group by user_id))"""
-FINAL = """f as (select *, case when not isnan(snr) and snr >= 0.25 then -1 when share < 0.25 then -2 when not isnan(mpc) and mpc > 0.75 then -3 when below > 0.35 and iso < 1 then -4 when wires <= 2 then -5 when width < 90 then -6
-  when short_isi > 0.05 then -7 when rate > 50 then -8 when lratio > 0.3 and iso < 5 then -9 when not valley then -10 when below > 0.25 and iso < 1 then 1
-  when not isnan(bhat_mua) and (bhat_mua < 1.5 or (below > 0.1 and bhat_near < 0.5)) and iso < 1 then 2
-  when ((min_bhat > 4 and (isnan(bhat_unsorted) or bhat_unsorted > 2)) or lratio < 0.05) and below < 0.1 and bhat_near = 'infinity'::double then 5
-  when lratio < 0.1 then case when (isnan(bhat_unsorted) or bhat_unsorted > 1) and min_bhat > 2 and short_isi < 0.05 and below < 0.1 then 4 else 3 end else 2 end as final_grade from g)"""
-
-
-def _grades(spark, sf_dir):
-    per = V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    u, n = F.col("user_id"), F.col("n")
-    d = lambda x: x.cast("double")
-    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
-    return per.select(
-        "user_id", (d(u % 9) * 0.03).alias("snr"), (0.2 + d(n % 7) / 10).alias("share"), (0.1 * d(n % 9)).alias("mpc"), (0.05 * d(n % 8)).alias("below"), (0.5 * d(u % 13)).alias("iso"), d(2 + u % 3).alias("wires"), d(80 + 3 * (u % 11)).alias("width"),
-        (0.01 * d(n % 6)).alias("short_isi"), d(u % 60).alias("rate"), (0.04 * d(u % 9)).alias("lratio"), (u % 10 != 0).alias("valley"), F.when(u % 4 == 0, nan).otherwise(0.4 * d(u % 7)).alias("bhat_mua"),
-        F.when(u % 2 == 0, inf).otherwise(0.3 * d(u % 5)).alias("bhat_near"), (0.6 * d(u % 10)).alias("min_bhat"), F.when(u % 3 == 0, nan).otherwise(0.5 * d(u % 6)).alias("bhat_unsorted"),
-    )
-
-
-_G = GRADES.replace("0.3 * (value_avg / 100) as snr", "(user_id % 9)::double * 0.03::double as snr").replace("0.2 + n % 7 / 10.0", "0.2::double + (n % 7)::double / 10")
-for _x in ("0.1 * (n % 9)", "0.05 * (n % 8)", "0.5 * (user_id % 13)", "0.01 * (n % 6)", "0.04 * (user_id % 9)", "0.4 * (user_id % 7)", "0.3 * (user_id % 5)", "0.6 * (user_id % 10)", "0.5 * (user_id % 6)"):
-    _G = _G.replace(_x, _x.replace(" *", "::double *"))
-
-
-@query(f"with {_G}, {FINAL} select user_id, final_grade, case when final_grade = -9 then 0.8 when final_grade in (3, 4) and below > 0.15 then 0.5 else 1.0 end::double as confidence from f")
-def final_grades(spark, sf_dir):
-    return grading.final_grades(_grades(spark, sf_dir)).select("user_id", "final_grade", "confidence")
-
-
-@query(f"with {_G}, {FINAL} select final_grade, count(*) as clusters, count(*) filter (where min_bhat < 0.75) as found, round(count(*) filter (where min_bhat < 0.75) / count(*), 6) as ratio from f group by final_grade")
-def find_ratio(spark, sf_dir):
-    hit = F.sum((F.col("min_bhat") < 0.75).cast("int"))
-    return grading.final_grades(_grades(spark, sf_dir)).groupBy("final_grade").agg(F.count("*").alias("clusters"), hit.alias("found"), r6(hit / F.count("*")).alias("ratio"))
-
-
 _U = "1 / ((a - {0}) ** 2 + (b - {1}) ** 2)"
 _C = ((150.0, 150.0), (350.0, 300.0))
 _UU = [_U.format(*c) for c in _C]
