@@ -29,9 +29,20 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 
-NAVIGATION = r"(?i)^\W*(home|menu|search|log ?in|sign (in|up)|next|previous|back to top|skip to (main )?content|read more|share|contact( us)?|about( us)?)\W*$"
+# Menu entries and boilerplate phrases, a line a language; further languages may be added to either list.
+NAVIGATION = "(?iu)^\\W*(" + "|".join([
+    r"home|menu|search|log ?in|sign (in|up)|next|previous|back to top|skip to (main )?content|read more|share|contact( us)?|about( us)?",
+    r"startseite|menü|suche|anmelden|weiter|zurück|nach oben|mehr lesen|teilen|kontakt|über uns",
+    r"accueil|recherche|connexion|suivant|précédent|haut de page|lire la suite|partager|à propos",
+    r"inicio|menú|buscar|iniciar sesión|siguiente|anterior|volver arriba|leer más|compartir|contacto|acerca de",
+]) + ")\\W*$"
+BOILERPLATE = "(?iu)\\b(" + "|".join([
+    r"we use cookies|accept (all )?cookies|enable javascript|javascript (is|must be) (disabled|enabled)|all rights reserved|terms (of (use|service)|and conditions)|privacy policy|lorem ipsum|subscribe to our|click here",
+    r"wir verwenden cookies|alle rechte vorbehalten|allgemeine geschäftsbedingungen|hier klicken",
+    r"nous utilisons des cookies|tous droits réservés|politique de confidentialité|cliquez ici",
+    r"utilizamos cookies|todos los derechos reservados|política de privacidad|haga clic",
+]) + ")\\b"
 SEPARATORS = r"[|>»·•]"
-BOILERPLATE = r"(?i)\b(we use cookies|accept (all )?cookies|enable javascript|javascript (is|must be) (disabled|enabled)|all rights reserved|terms (of (use|service)|and conditions)|privacy policy|lorem ipsum|subscribe to our|click here)\b"
 SYMBOL_RE = r"[#*$%&|<>{}\[\]~^=+\\/_@]"
 PUNCTUATION_RE = r"[.,;:!?…。，]"
 SENTENCE_END_RE = r"[.!?…。:;,][\"')\]”’»]*\s*$"
@@ -104,3 +115,21 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_re
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return step.select("*", failed.alias("base_failed"), (~failed & (F.col("lost") <= max_lost)).alias("kept")).drop(*work)
+
+
+def oracle_sql(min_words: int = 50, max_repeat_percent: int = 50, max_lost: float = 0.5) -> str:
+    """DuckDB SQL for the counts and verdicts of all ``documents``."""
+    quoted = lambda x: "'" + x.replace("(?iu)", "(?i)").replace("'", "''") + "'"
+    count = lambda text, pattern: f"len(regexp_extract_all({text}, {quoted(pattern)}))"
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents),
+    w as (select doc_id, t, regexp_extract_all(t, {quoted(word)}) as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {quoted(word)})) as lines from d),
+    grams as (select doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+    repeated as (select doc_id, count(distinct place) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as place from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1) group by doc_id),
+    l as (select doc_id, line, regexp_replace(line, {quoted(SPACE_RE)}, '', 'g') as bare, {count('line', word)} as n from (select doc_id, unnest(list_distinct(lines)) as line from w)),
+    good as (select doc_id, sum(length(bare)) as kept_chars from l where not ({count('bare', SYMBOL_RE)} * 5 > length(bare) or (n <= 20 and {count('line', SEPARATORS)} >= 3) or regexp_matches(line, {quoted(BOILERPLATE)})
+      or (n < 4 and (regexp_matches(line, {quoted(NAVIGATION)}) or not regexp_matches(line, {quoted(SENTENCE_END_RE)}))) or (n > 40 and not regexp_matches(line, {quoted(PUNCTUATION_RE)}))) group by doc_id),
+    b as (select doc_id, len(w) as n_words, length(regexp_replace(t, {quoted(SPACE_RE)}, '', 'g')) as word_chars, {count('t', '[#*$%&|<>]')} as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(kept_chars, 0) as kept_chars
+      from w left join repeated using (doc_id) left join good using (doc_id)),
+    f as (select *, n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words as base_failed from b)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and case when word_chars = 0 then 0.0 else 1 - kept_chars / word_chars end <= {max_lost} as kept from f"""

@@ -60,4 +60,4 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op3_substring_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op8_quality_rules": quality_rules.oracle_sql()}
