@@ -247,8 +247,11 @@ def _big() -> Column:
 
 def _may_link(percent: int) -> Column:
     """Sizes and bit sketches of a pair allow the similarity: 100 |A and B| >= percent |A or B|."""
-    sizes = F.col("n") + F.col("m")
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (_distance() * (100 + percent) <= (100 - percent) * sizes)
+    return _sizes_may_link(percent) & (_distance() * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m")))
+
+
+def _sizes_may_link(percent: int) -> Column:
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
 def _sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -313,13 +316,17 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     nodes = materialize(nodes, "nodes")
     members = materialize(_thinned(members, nodes), "members")
 
-    # a linked pair shares slack + 1 keys; some may be among the hot keys of either, and keys of more nodes are tried below
-    left = nodes.select(F.col("node").alias("a"), "n", "slack", "held", *sketch)
+    # a linked pair shares slack + 1 keys; some may be among the hot keys of either, and keys of more nodes are tried below.
+    # Counts and sizes are looked up first and sketches only for the pairs that stay; the rows are dealt by ``a`` once for
+    # the sums and the first look-up, and by ``b`` once for the second and the sketches of ``b``.
     renamed = {"node": "b", "n": "m", "slack": "slack2", "held": "held2", "tight": "tight2", **{f"s{i}": f"t{i}" for i in range(SKETCH_WORDS)}}
-    right = nodes.drop("doc", "wide").withColumnsRenamed(renamed)
-    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    few = nodes.select("node", "n", "slack", "held")
+    pairs = found.where("a is not null").select("a", "b", "shared").repartition(partitions(spark), "a").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     least = F.greatest(F.lit(1), F.ceil((F.least("slack", "slack2") + 1 - F.least("held", "held2")) / 3))
-    pairs = pairs.join(left, "a").join(right, "b").where((F.col("shared") >= least) & _may_link(percent)).select("a", "b", _distance().alias("distance"), _big())
+    pairs = pairs.join(few.withColumnRenamed("node", "a"), "a").join(few.withColumnsRenamed(renamed), "b")
+    pairs = pairs.where((F.col("shared") >= least) & _sizes_may_link(percent)).select("a", "b", "n", "m")
+    pairs = pairs.join(nodes.select("node", *sketch).withColumnsRenamed(renamed), "b").join(nodes.select(F.col("node").alias("a"), *sketch), "a")
+    pairs = pairs.where(_may_link(percent)).select("a", "b", _distance().alias("distance"), _big())
     pairs = materialize(_sieved(pairs, nodes, percent), "pairs")
 
     # first each node's closest partner
