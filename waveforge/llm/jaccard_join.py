@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import arrow_map, materialize, partitions, runs, scratch, slices
+from .shared import arrow_map, materialize, partitions, runs, scratch, slices, small_or_shuffled
 from .words import mix, shingles, word_hashes
 
 BAND = 4  # ratio of a size band
@@ -434,4 +434,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_
     """
     found = jaccard_components(docs, k, percent, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
+    gone = small_or_shuffled(materialize(gone, "gone"))
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 #: Rows of an Arrow batch between the JVM and Python, unless the session's owner has set another number.
@@ -85,6 +86,15 @@ def scratch(spark: SparkSession):
         drop_folders(spark, made)
 
 
+#: Rows (of some tens of bytes each) up to which a written table is broadcast; larger ones are shuffled to.
+BROADCAST_ROWS = 100_000
+
+
+def small_or_shuffled(table: DataFrame) -> DataFrame:
+    """A written table with the broadcast hint if it has at most ``BROADCAST_ROWS`` rows, so that texts don't move to it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
