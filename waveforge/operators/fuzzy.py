@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
-def squared_distances(dims: list[str], centers: list[list[float]]) -> list[Column]:
+def squared_distances(dims: list[str], centers: list[list]) -> list[Column]:
     return [sum(((F.col(d) - v) * (F.col(d) - v) for d, v in zip(dims[1:], c[1:], strict=True)), (F.col(dims[0]) - c[0]) * (F.col(dims[0]) - c[0])) for c in centers]
 
 
-def memberships(dims: list[str], centers: list[list[float]]) -> list[Column]:
+def memberships(dims: list[str], centers: list[list]) -> list[Column]:
     """Degrees of membership (fuzzifier 2); a row on a center belongs to it wholly, shared between equal centers."""
     d2 = squared_distances(dims, centers)
     on = sum((F.when(d == 0, 1).otherwise(0) for d in d2), F.lit(0))
@@ -54,11 +54,12 @@ def validity(coefficient: float, k: int) -> float:
 
 
 def best_partition(rows: DataFrame, dims: list[str], k_max: int, key: str, max_iter: int = 50, epsilon: float = 1e-5) -> tuple[list[list[float]], float]:
-    """Centers of the number of clusters with the best validity.
+    """Centers of the number of clusters with the best validity, and that validity.
 
     Starts from the mean; each further center is the row nearest to all centers so
     far, shifted by 1e-5 (ties: the smallest ``key``).
     """
+    rows = rows.select(key, *dims).persist()  # read in every step
     mean = rows.agg(*(F.avg(d).alias(d) for d in dims)).first()
     centers, best = [[mean[d] for d in dims]], ([[mean[d] for d in dims]], 0.0)
     for k in range(2, k_max + 1):
@@ -67,6 +68,7 @@ def best_partition(rows: DataFrame, dims: list[str], k_max: int, key: str, max_i
         centers, coefficient = fit(rows, dims, [*centers, [near[d] + 1e-5 for d in dims]], max_iter, epsilon)
         if (got := validity(coefficient, k)) > best[1]:
             best = (centers, got)
+    rows.unpersist()
     return best
 
 

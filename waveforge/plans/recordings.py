@@ -279,7 +279,8 @@ def ordered_rows(spark, sf_dir):
 _GRID = ", ".join(f"{{'i': {i}, 'f': sum(exp(-(((v - (lo + {i} * (hi - lo) / 99)) / h) ** 2) / 2)) / any_value(n * h * 2.5066282746310002::double), 'x': any_value(lo + {i} * (hi - lo) / 99)}}" for i in range(100))
 
 
-@query(f"""with {F1}, {XY}, l as (select cluster_id, 'a' as dim, a as v from x union all select cluster_id, 'b', b from x), z as (select cluster_id, dim, (v - avg(v) over w) / stddev_samp(v) over w as v, count(*) over w as n from l window w as (partition by cluster_id, dim)),
+# Kernel densities of the values ``l`` (cluster_id, dim, v) and what the test finds in them.
+OVERLAP = f"""z as (select cluster_id, dim, (v - avg(v) over w) / stddev_samp(v) over w as v, count(*) over w as n from l window w as (partition by cluster_id, dim)),
   e as (select cluster_id, dim, v, n, 0.75::double * pow(4 / (3.0::double * n), 0.2::double) as h from z), k as (select *, min(v) over w - 3 * h as lo, max(v) over w + 3 * h as hi from e window w as (partition by cluster_id, dim)),
   g as (select cluster_id, dim, any_value(n) as n, list_transform([{_GRID}], lambda q: q.f) as f, any_value(lo) as lo, any_value(hi) as hi from k group by 1, 2),
   p as (select *, list_filter(range(2, 100), lambda i: f[i] > f[i - 1] and f[i] >= f[i + 1]) as pk, list_filter(range(2, 100), lambda i: f[i] < f[i - 1] and f[i] <= f[i + 1]) as vl from g),
@@ -287,7 +288,10 @@ _GRID = ", ".join(f"{{'i': {i}, 'f': sum(exp(-(((v - (lo + {i} * (hi - lo) / 99)
   c as (select m.cluster_id, m.dim, valley, any_value(val) as val, any_value(before_) as before_, any_value(after_) as after_, any_value(m.n) as n, sum((k.v < m.x)::int) as below_, sum((k.v > m.x)::int) as above_ from m join k on m.cluster_id = k.cluster_id and m.dim = k.dim where before_ is not null and after_ is not null group by 1, 2, 3),
   s as (select *, val < 0.75 * greatest(before_, after_) and case when before_ <= after_ then below_ else above_ end > least(0.25 * n, 500) as hit, val < 0.35 * greatest(before_, after_) or (least(before_, after_) > 0.7 * greatest(before_, after_) and val < 0.7 * greatest(before_, after_)) as fine from c),
   r as (select cluster_id, dim, arg_min(fine, valley) as fine from s where hit group by 1, 2)
-  select g.cluster_id, g.dim, r.fine is not null as passed, coalesce(r.fine, false) as good from g left join r using (cluster_id, dim)""")
+  select g.cluster_id, g.dim, r.fine is not null as passed, coalesce(r.fine, false) as good from g left join r using (cluster_id, dim)"""
+
+
+@query(f"with {F1}, {XY}, l as (select cluster_id, 'a' as dim, a as v from x union all select cluster_id, 'b', b from x), {OVERLAP}")
 def overlap_test(spark, sf_dir):
     rows = _xy(spark, sf_dir).select("cluster_id", F.inline(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("v")) for d in "ab"))))
     return shapes.overlap_test(rows, ["cluster_id", "dim"], "v")
