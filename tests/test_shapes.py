@@ -123,21 +123,6 @@ def test_features_equal_numpy(spark):
     assert features.feature_lines(frame, "tetrode", "spike_id", ["w1", "w2"]).where("ord = -1").first()["line"] == "6"
 
 
-def test_a_run_keeps_planted_clusters(spark, monkeypatch):
-    # the fuzzy fit has tests of its own; here its labels are given, with every tenth row in the wrong cluster
-    r = np.random.default_rng(5)
-    centers = np.array([[100.0, 40.0], [40.0, 120.0], [160.0, 150.0]])
-    x = np.concatenate([c + r.normal(0, 3, (90, 2)) for c in centers])
-    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "spike_id long, a double, b double").coalesce(1)
-    new = spark.createDataFrame([(1000, 100.0, 40.0), (1001, 500.0, 500.0)], "spike_id long, a double, b double")
-    wrong = F.when(F.col("spike_id") % 10 == 0, 1).otherwise(0)
-    monkeypatch.setattr(sorting, "core_clusters", lambda rows, *rest: rows.withColumn("cluster", ((F.floor(F.col("spike_id") / 90) + wrong) % 3).cast("int")))
-    got = {r["spike_id"]: r["cluster"] for r in sorting.sort_spikes(frame, new, "spike_id", ["a", "b"], least=50).collect()}
-    groups = [{got[i] for i in range(90 * k, 90 * k + 90)} - {0} for k in range(3)]
-    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
-    assert sum(v == 0 for k, v in got.items() if k < 1000) < 30 and got[1000] == groups[0].pop() and got[1001] == 0
-
-
 def test_passes_and_empty_tables(spark):
     assert shapes.pass_thresholds(1) == [] and shapes.pass_thresholds(5) == [2.0, 2.0 - 2 / 3, 2.0 - 4 / 3, 0.0]
     empty = spark.createDataFrame([], "spike_id long, a double, b double, cluster_id int")

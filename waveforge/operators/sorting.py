@@ -1,4 +1,4 @@
-"""Sorting spikes into clusters: weights of dimensions, cores, expansion, refinement and the run over a recording.
+"""Sorting spikes into clusters: weights of dimensions, cores, expansion and refinement.
 
 Every step is an aggregation or an equi-join with a table of clusters; cluster tables, centres and thresholds are
 all that is small.  Steps that are read several times are persisted, so a lost executor costs their recomputation.
@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import fuzzy, geometry, grading, shapes
+from . import fuzzy, geometry, shapes
 from .moments import moments
 
 
@@ -96,15 +96,6 @@ def bad_clusters(rows: DataFrame, key: str, dims: list[str]) -> DataFrame:
     return shapes.overlap_test(long, [key, "dim"], "v").groupBy(key).agg(F.max("passed").alias("bad"))
 
 
-def filled(rows: DataFrame, members: DataFrame, key: str, item: str, dims: list[str], least: int = 25) -> DataFrame:
-    """``key, item``: members, and all rows nearer to a cluster's Gaussian than its members' median distance plus a deviation; clusters of under ``least`` members go."""
-    points = members.join(rows.select(item, *dims), item)
-    fit = geometry.factored(moments(points, [key], dims, sample=False).where(F.col("n") >= least), dims)
-    limits = points.join(fit, key).withColumn("d", geometry.mahalanobis(dims)).groupBy(key).agg((F.median("d") + F.stddev("d")).alias("limit"))
-    near = rows.select(item, *dims).crossJoin(fit.join(limits, key)).where(geometry.mahalanobis(dims) < F.col("limit")).select(key, item)
-    return near.union(members.join(fit.select(key), key, "left_semi").select(key, item)).distinct()
-
-
 def cleaned(rows: DataFrame, key: str, item: str, dims: list[str], rounds: int = 2, n_std: float = 2.0) -> DataFrame:
     """``rows`` after rounds that keep those within median + ``n_std`` deviations of their cluster's distances."""
     for _ in range(rounds):
@@ -112,21 +103,3 @@ def cleaned(rows: DataFrame, key: str, item: str, dims: list[str], rounds: int =
         limits = far.groupBy(key).agg((F.median("distance") + n_std * F.stddev("distance")).alias("limit"))
         rows = far.join(limits, key).where(F.col("distance") < F.col("limit")).select(*rows.columns)
     return rows
-
-
-def sort_spikes(rows: DataFrame, new: DataFrame, item: str, dims: list[str], k_max: int = 6, max_iter: int = 50, least: int = 50) -> DataFrame:
-    """``item, cluster``: a run over one recording's regular spikes (``rows``) and its multi-spike windows (``new``).
-
-    Cores by fuzzy clustering, expansion from each core's nearest rows, removal of clusters with several modes, the
-    Gaussian fill, then the windows by the clusters that take them; a row in several clusters has the highest, 0 is none.
-    """
-    rows = rows.select(item, *dims).persist()
-    found = core_clusters(rows, dims, item, k_max, max_iter, least).withColumn("cluster", F.col("cluster") + 1)
-    near = found.join(geometry.factored(moments(found, ["cluster"], dims), dims), "cluster").withColumn("distance", geometry.mahalanobis(dims)).select("cluster", item, *dims, "distance")
-    cores = grading.core_rows(near, "cluster", "distance", item).select("cluster", item, *dims)
-    grown = expanded(rows, cores, "cluster", item, dims, clean=False, scale=20.0).persist()
-    bad = bad_clusters(grown.join(rows, item), "cluster", dims).where("bad").select("cluster")
-    members = filled(rows, grown.join(bad, "cluster", "left_anti"), "cluster", item, dims, least=least // 2).persist()
-    own = members.groupBy(item).agg(F.max("cluster").alias("cluster"))
-    late = shapes.classified(members.join(rows, item), new.select(item, *dims), "cluster", item, dims, n_std=2.5)
-    return rows.select(item).join(own, item, "left").select(item, F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster")).union(late.select(item, "cluster"))
