@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, embedding_dedup, jaccard_join, language_id, license_scan, merkle, packing, quality_rules, sstable, substring_dedup, token_counts, vector_packing
+from . import bpe_tree, embedding_dedup, jaccard_join, language_id, lexical_search, license_scan, merkle, packing, quality_rules, sstable, substring_dedup, token_counts, vector_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, max_segments=64, end_id=1)
 
@@ -67,5 +71,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(merkle.leaves(_table(spark, sf_dir, "documents")), fanout=8, levels=3).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op3_substring_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree, op12_vector_packing, op13_merkle_manifest)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op8_quality_rules": quality_rules.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_sorted_string_table, op3_substring_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_jaccard_join, op8_quality_rules, op9_best_fit_packing, op10_bpe_tree, op11_lexical_search, op12_vector_packing, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op8_quality_rules": quality_rules.oracle_sql(), "op11_lexical_search": lexical_search.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
