@@ -144,12 +144,14 @@ def output_rows(rows: DataFrame, item: str, ts: str, key: str, wires: list[str])
     return got.select((F.col(ts) / 1e6).alias("ts_s"), "cluster_id", "wf")
 
 
-def classified(members: DataFrame, new: DataFrame, key: str, item: str, dims: list[str], n_std: float) -> DataFrame:
-    """``item, key``: the highest cluster whose members' median distance plus ``n_std`` deviations takes the row; 0 for none.
+def classified(members: DataFrame, new: DataFrame, key: str, item: str | list[str], dims: list[str], n_std: float, by: list[str] | None = None) -> DataFrame:
+    """``by, item, key``: the highest cluster whose members' median distance plus ``n_std`` deviations takes the row; 0 for none.
 
-    Rows meet the table of clusters, a row a cluster.
+    Rows meet the clusters of their recording (``by``; one recording where it is left out), a row a cluster.
     """
-    fit = geometry.factored(moments(members, [key], dims), dims)
-    own = members.join(fit, key).withColumn("d", geometry.mahalanobis(dims)).groupBy(key).agg((F.median("d") + n_std * F.stddev("d")).alias("limit"))
-    near = new.crossJoin(fit.join(own, key)).withColumn("d", geometry.mahalanobis(dims))
-    return near.groupBy(item).agg(F.coalesce(F.max(F.when(F.col("d") < F.col("limit"), F.col(key))), F.lit(0)).cast("int").alias(key))
+    keys, items = [*(by or []), key], [item] if isinstance(item, str) else item
+    fit = geometry.factored(moments(members, keys, dims), dims)
+    own = members.join(fit, keys).withColumn("d", geometry.mahalanobis(dims)).groupBy(*keys).agg((F.median("d") + n_std * F.stddev("d")).alias("limit"))
+    clusters = fit.join(own, keys)
+    near = (new.join(clusters, by, "left") if by else new.crossJoin(clusters)).withColumn("d", geometry.mahalanobis(dims))
+    return near.groupBy(*(by or []), *items).agg(F.coalesce(F.max(F.when(F.col("d") < F.col("limit"), F.col(key))), F.lit(0)).cast("int").alias(key))
