@@ -14,7 +14,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moments import chi2_tail_even, moments
+from .moments import moments
 
 
 def total(terms: list[Column]) -> Column:
@@ -71,9 +71,18 @@ def rest_moments(table: DataFrame, group: str, key: str, dims: list[str]) -> Dat
 
 
 def lratio(rows: DataFrame, reference: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
-    """``keys, lratio``: mean chi-squared tail of the rows under the reference moments of their keys."""
-    near = rows.join(factored(reference, dims), keys)
-    return near.groupBy(*keys).agg(F.avg(chi2_tail_even(mahalanobis(dims), len(dims))).alias("lratio"))
+    """``keys, lratio``: mean chi-squared tail of the rows under the reference moments of their keys.
+
+    Where ``reference`` has columns ``use_<d>``, a key's distance is over the dimensions that it uses.
+    """
+    if f"use_{dims[0]}" not in reference.columns:
+        near = rows.join(factored(reference, dims), keys)
+        return near.groupBy(*keys).agg(F.avg(chi2_tail(mahalanobis(dims), len(dims))).alias("lratio"))
+    use = lambda d: F.col(f"use_{d}")
+    fit = factored(reference, dims, chosen(lambda a, b: F.col(f"c_{a}_{b}"), use))
+    apart = quadratic([F.when(use(d), F.col(d) - F.col(f"mu_{d}")).otherwise(0.0) for d in dims])
+    degrees = total([use(d).cast("int") for d in dims])
+    return rows.join(fit, keys).groupBy(*keys).agg(F.avg(chi2_tail_of(apart, degrees, len(dims))).alias("lratio"))
 
 
 def bhattacharyya(pairs: DataFrame, dims: list[str], other: str = "o_") -> DataFrame:
@@ -89,15 +98,74 @@ def named_other(table: DataFrame, keep: list[str], other: str = "o_") -> DataFra
     return table.select(*(F.col(c) if c in keep else F.col(c).alias(other + c) for c in table.columns))
 
 
+# Coefficients of Cody's rational approximations of the error functions (1969), constant term last.
+_ERF = ((1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _ratio(x: Column, parts: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+    def horner(values: tuple[float, ...]) -> Column:
+        out = F.lit(values[0])
+        for v in values[1:]:
+            out = out * x + v
+        return out
+
+    return horner(parts[0]) / horner(parts[1])
+
+
 def erfc(z: Column) -> Column:
-    """Complementary error function of z >= 0 by a published rational approximation (error under 1.5e-7)."""
-    # Coefficients of the approximation.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    t = 1.0 / (1.0 + p * z)
-    series = a[4] * t + a[3]
-    for x in a[2::-1]:
-        series = series * t + x
-    return series * t * F.exp(-z * z)
+    """Complementary error function of z >= 0, to double precision."""
+    near = 1.0 - z * _ratio(z * z, _ERF)
+    middle = F.exp(-z * z) * _ratio(z, _MIDDLE)
+    inverse = 1.0 / (z * z)
+    far = F.exp(-z * z) / z * (1 / math.sqrt(math.pi) - inverse * _ratio(inverse, _FAR))
+    return F.when(z <= 0.46875, near).when(z <= 4, middle).otherwise(far)
+
+
+def chi2_tail(x: Column, dims: int) -> Column:
+    """P(chi-squared with ``dims`` degrees of freedom > x), to double precision: the tail of one or two degrees and a finite sum.
+
+    1 for x = 0 and for no degrees; null and NaN stay what they are.
+    """
+    if dims == 0:
+        return F.when(x.isNotNull(), F.lit(1.0))
+    half = x / 2
+    first = F.exp(-half) if dims % 2 == 0 else erfc(F.sqrt(half))
+    term, sums = (half, []) if dims % 2 == 0 else (F.sqrt(half) * (2 / math.sqrt(math.pi)), [])
+    for n in range(4 - dims % 2, dims + 1, 2):  # term: half^(n/2-1) / gamma(n/2)
+        sums.append(term)
+        term = term * half / (n / 2)
+    return first + F.exp(-half) * total(sums) if sums else first
+
+
+def chi2_tail_of(x: Column, degrees: Column, most: int) -> Column:
+    """The tail for a number of degrees of freedom that rows differ in, from 0 to ``most``."""
+    out = F.lit(None).cast("double")
+    for d in range(most, -1, -1):
+        out = F.when(degrees == d, chi2_tail(x, d)).otherwise(out)
+    return out
+
+
+def chosen(cov: Callable[[str, str], Column], use: Callable[[str], Column]) -> Callable[[str, str], Column]:
+    """Covariances of the dimensions in use; another one is unrelated, of variance 1: it adds nothing to a distance from differences of 0."""
+    return lambda a, b: F.when(use(a) & use(b), cov(a, b)).otherwise(F.lit(1.0 if a == b else 0.0))
+
+
+def usable(rows: DataFrame, keys: list[str], dims: list[str], tolerance: float = 0.05) -> DataFrame:
+    """``keys, use_<d>``: whether the distinct values of a dimension are ``tolerance`` of the group's rows at least.
+
+    Values are made distinct where they are before they meet; a group may hold all rows.
+    """
+    long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(d).cast("double").alias("v")) for i, d in enumerate(dims)))))
+    values = long.groupBy(*keys, "dim", "v").agg(F.count("*").alias("n")).groupBy(*keys, "dim").agg((F.count("v") >= tolerance * F.sum("n")).alias("use"))
+    return values.groupBy(*keys).agg(*(F.max(F.when(F.col("dim") == i, F.col("use"))).alias(f"use_{d}") for i, d in enumerate(dims)))
 
 
 def rates_1d(rows: DataFrame, group: str, key: str, dims: list[str]) -> DataFrame:

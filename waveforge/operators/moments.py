@@ -30,17 +30,6 @@ def mahalanobis_2d(x: str, y: str, prefix: str = "") -> Column:
     return (d * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * d - b * b)
 
 
-def chi2_tail_even(x: Column, dims: int) -> Column:
-    """P(chi-squared with an even number of degrees of freedom > x): a finite sum."""
-    if dims % 2:
-        raise ValueError("the closed form needs an even number of dimensions")
-    term, total = F.lit(1.0), F.lit(1.0)
-    for i in range(1, dims // 2):
-        term = term * (x / 2) / i
-        total = total + term
-    return F.exp(-x / 2) * total
-
-
 def bhattacharyya_2d(table: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """``a, b, bhat`` for the pairs of clusters a < b; the table has a row a cluster."""
     other = table.select(*(F.col(c).alias(f"o_{c}") for c in table.columns))
@@ -52,20 +41,3 @@ def bhattacharyya_2d(table: DataFrame, key: str, x: str, y: str) -> DataFrame:
     dx, dy = F.col(f"mu_{x}") - F.col(f"o_mu_{x}"), F.col(f"mu_{y}") - F.col(f"o_mu_{y}")
     first = (d * dx * dx - 2 * b * dx * dy + a * dy * dy) / det / 8
     return pairs.select(F.col(key).alias("a"), F.col(f"o_{key}").alias("b"), (first + F.log(det / F.sqrt(own("") * own("o_"))) / 2).alias("bhat"))
-
-
-def rest_moments_2d(table: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Per cluster the moments of all rows outside it, from the clusters' own moments: no second pass over the rows."""
-    sums = table.select(key, "n", *((F.col(f"mu_{d}") * F.col("n")).alias(f"s_{d}") for d in (x, y)), *((F.col(f"c_{a}_{b}") * (F.col("n") - 1) + F.col("n") * F.col(f"mu_{a}") * F.col(f"mu_{b}")).alias(f"q_{a}_{b}") for a, b in ((x, x), (x, y), (y, y))))
-    names = ["n", f"s_{x}", f"s_{y}", f"q_{x}_{x}", f"q_{x}_{y}", f"q_{y}_{y}"]
-    total = sums.agg(*(F.sum(c).alias(f"t_{c}") for c in names))
-    rest = sums.crossJoin(F.broadcast(total)).select(key, *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in names))
-    n = F.col("n")
-    cov = lambda a, b: ((F.col(f"q_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n) / (n - 1)).alias(f"c_{a}_{b}")
-    return rest.select(key, n, (F.col(f"s_{x}") / n).alias(f"mu_{x}"), (F.col(f"s_{y}") / n).alias(f"mu_{y}"), cov(x, x), cov(x, y), cov(y, y))
-
-
-def lratio_2d(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """``key, lratio``: mean chi-squared tail of a cluster's points under the distribution of all others."""
-    rest = rest_moments_2d(moments(rows, [key], [x, y]), key, x, y)
-    return rows.select(key, x, y).join(rest, key).groupBy(key).agg(F.avg(chi2_tail_even(mahalanobis_2d(x, y), 2)).alias("lratio"))

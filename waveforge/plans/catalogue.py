@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import waveform as W
-from ..operators import fuzzy, grading, moments
+from ..operators import fuzzy, geometry, grading, moments
 from ..operators import trains as T
 from ..sources import views as V
 
@@ -272,8 +272,9 @@ def mahal_2d(spark, sf_dir):
   m as (select k, avg(a) as ma, avg(b) as mb, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(b, b) as bb from x, k where cluster_id <> k group by k)
   select cluster_id, round(avg(exp(-({MAHAL}) / 2)), 6) as lratio from x join m on cluster_id = k group by cluster_id""")
 def lratio_2d(spark, sf_dir):
-    got = moments.lratio_2d(_xy(spark, sf_dir), "cluster_id", "a", "b")
-    return got.select("cluster_id", r6("lratio", "lratio"))
+    rows = _xy(spark, sf_dir).withColumn("all", F.lit(1))
+    rest = geometry.rest_moments(moments.moments(rows, ["all", "cluster_id"], ["a", "b"]), "all", "cluster_id", ["a", "b"])
+    return geometry.lratio(rows.select("all", "cluster_id", "a", "b"), rest, ["all", "cluster_id"], ["a", "b"]).select("cluster_id", r6("lratio", "lratio"))
 
 
 BHAT = """select x.cluster_id as a, y.cluster_id as b, round(((x.bb + y.bb) / 2 * (x.ma - y.ma) ** 2 - (x.ab + y.ab) * (x.ma - y.ma) * (x.mb - y.mb) + (x.aa + y.aa) / 2 * (x.mb - y.mb) ** 2)

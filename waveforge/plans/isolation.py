@@ -124,9 +124,10 @@ def nearby_unsorted(spark, sf_dir):
 
 
 _Z = "sqrt(({0} - mu_{0}) ** 2 / c_{0}_{0} / 2)"
-_E = "((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-z * z)"
+# the two-sided normal tail from the series of the incomplete gamma function
+_E = "case when z = 0 then 1.0 when z > 6 then 0.0 else 1 - list_sum(list_transform(range(0, 150), lambda n: exp(-z * z + (2 * n + 1) * ln(z) - lgamma(n + 1.5)))) end"
 RATES = f"""z as (select big.tetrode, cluster_id, unnest([{', '.join(f"{{'dim': '{x}', 'z': {_Z.format(x)}}}" for x in DIMS)}], recursive := true) from big join rest on big.tetrode = rest.tetrode and cluster_id = k),
-  t as (select *, 1 / (1 + 0.3275911::double * z) as t from z), rates as (select tetrode, cluster_id, dim, avg({_E}) as rate from t group by all)"""
+  rates as (select tetrode, cluster_id, dim, avg({_E}) as rate from z group by all)"""
 
 
 @query(f"with {F3}, {BIG}, {REST}, {RATES} select tetrode, cluster_id, dim, round(rate, 6) as rate from rates")
