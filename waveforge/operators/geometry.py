@@ -27,18 +27,18 @@ def factored(table: DataFrame, dims: list[str], cov: Callable[[str, str], Column
     name = lambda kind, *i: F.col("_".join([f"{prefix}{kind}", *map(str, i)]))
     for j, q in enumerate(dims):
         table = table.withColumn(f"{prefix}d_{j}", total([cov(q, q), *(-name("l", j, k) * name("l", j, k) * name("d", k) for k in range(j))]))
-        lower = {f"{prefix}l_{i}_{j}": total([cov(q, dims[i]), *(-name("l", i, k) * name("l", j, k) * name("d", k) for k in range(j))]) / name("d", j) for i in range(j + 1, len(dims))}
+        lower = {f"{prefix}l_{i}_{j}": total([cov(q, dims[i]), *(-name("l", i, k) * name("l", j, k) * name("d", k) for k in range(j))]) / F.nullif(name("d", j), F.lit(0.0)) for i in range(j + 1, len(dims))}
         if lower:
             table = table.withColumns(lower)
     return table
 
 
 def quadratic(differences: list[Column], prefix: str = "") -> Column:
-    """v' C^-1 v by forward substitution with the factors of C."""
+    """v' C^-1 v by forward substitution with the factors of C; null for a singular C."""
     solved: list[Column] = []
     for i, v in enumerate(differences):
         solved.append(total([v, *(-F.col(f"{prefix}l_{i}_{k}") * solved[k] for k in range(i))]))
-    return total([y * y / F.col(f"{prefix}d_{i}") for i, y in enumerate(solved)])
+    return total([y * y / F.nullif(F.col(f"{prefix}d_{i}"), F.lit(0.0)) for i, y in enumerate(solved)])
 
 
 def determinant(n: int, prefix: str = "") -> Column:

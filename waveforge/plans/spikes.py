@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import shapes, splitting
+from ..operators import moments, overlaps, shapes, splitting
 from ..sources import views as V
-from .catalogue import F1, MAHAL, MOM, XY, query, r6
+from .catalogue import F1, F3, MAHAL, MOM, XY, query, r6
 
 THRESHOLD = 100.0  # stands for the wires' own
 
@@ -56,3 +56,59 @@ def classify_split(spark, sf_dir):
     members = V.waveforms(spark, sf_dir).select(F.lit(0).alias("recording"), "cluster_id", *peaks)
     new = _parts(spark, sf_dir).select(F.lit(0).alias("recording"), "spike_id", "part", *peaks)
     return shapes.classified(members, new, "cluster_id", ["spike_id", "part"], ["a", "b"], n_std=2.5, by=["recording"]).select("spike_id", "part", "cluster_id")
+
+
+# -- overlaps ----------------------------------------------------------------------------------------
+
+# Besides its own, an item is in each cluster to whose distribution it is nearer than .5; the first cluster of each third recording takes in nearly all.
+NEAR = "0.5 + case when tetrode % 3 = 0 and {0} = 'A' then 5.5 else 0.0 end"
+
+
+def _tail(value: str) -> str:
+    """P(chi-squared with one degree of freedom > value) by the series of the incomplete gamma function."""
+    return f"case when {value} = 0 then 1.0 when {value} > 72 then 0.0 else 1 - list_sum(list_transform(range(0, 150), lambda n: exp(-{value} / 2 + (n + 0.5) * ln({value} / 2) - lgamma(n + 1.5)))) end"
+
+
+def _settle_sql(step: int, before: str, k: str, m: str) -> str:
+    """CTEs that settle clusters ``k`` and ``m`` of all recordings; the last is ``m<step>``."""
+    own = {"a": "ia and not ib", "b": "ib and not ia"}
+    stats = ", ".join(f"count_if({w}) as n{s}, avg(p1) filter ({w}) as {s}1, avg(p2) filter ({w}) as {s}2, covar_samp(p1, p1) filter ({w}) as {s}11, covar_samp(p1, p2) filter ({w}) as {s}12, covar_samp(p2, p2) filter ({w}) as {s}22, count(distinct p1) filter ({w}) as {s}d1, count(distinct p2) filter ({w}) as {s}d2" for s, w in own.items())
+    use = [f"(na = 0 or ad{d} >= 0.05 * na) and (nb = 0 or bd{d} >= 0.05 * nb)" for d in (1, 2)]
+    rates = ", ".join(f"1 - avg({_tail(f'(pow(p{d} - {s}{d}, 2) / nullif({s}{d}{d}, 0))')}) as {s}k{d}" for s in "ab" for d in (1, 2))
+    scaled = ", ".join(f"{s}k1 * {s}1 as {s}m1, {s}k2 * {s}2 as {s}m2, case when u1 then {s}k1 * {s}k1 * {s}11 else 1 end as {s}v11, case when u1 and u2 then {s}k1 * {s}k2 * {s}12 else 0 end as {s}v12, case when u2 then {s}k2 * {s}k2 * {s}22 else 1 end as {s}v22" for s in "ab")
+    away = {s: (f"case when u1 then p1 - {s}m1 else 0 end", f"case when u2 then p2 - {s}m2 else 0 end") for s in "ab"}
+    apart = ", ".join(f"({s}v22 * pow({x}, 2) - 2 * {s}v12 * ({x}) * ({y}) + {s}v11 * pow({y}, 2)) / nullif({s}v11 * {s}v22 - {s}v12 * {s}v12, 0) as d{s}" for s, (x, y) in away.items())
+    t = f"_{step}"
+    return f"""h{t} as materialized (select tetrode, item, any_value(p1) as p1, any_value(p2) as p2, bool_or(c = '{k}') as ia, bool_or(c = '{m}') as ib from {before} where c in ('{k}', '{m}') group by 1, 2),
+  s{t} as materialized (select *, {use[0]} as u1, {use[1]} as u2 from (select tetrode, count_if(ia) as alla, count_if(ib) as allb, count_if(ia and ib) as nx, {stats} from h{t} group by 1) where nx > 0),
+  r{t} as materialized (select tetrode, {rates} from h{t} join s{t} using (tetrode) where ia and ib group by 1),
+  f{t} as materialized (select *, {scaled} from s{t} join r{t} using (tetrode)),
+  n{t} as materialized (select tetrode, item, p1, p2, coalesce(ok and da < db, false) as ka, coalesce(ok and db < da, false) as kb from (select tetrode, item, p1, p2, na >= u1::int + u2::int and nb >= u1::int + u2::int as ok, {apart} from h{t} join f{t} using (tetrode) where ia and ib)),
+  w{t} as materialized (select tetrode, case when any_value(nx) <= 0.65 * any_value(least(alla, allb)) then 'part' when count_if(ka) > count_if(kb) then '{k}' else '{m}' end as win from n{t} join f{t} using (tetrode) group by 1),
+  m{step} as materialized (select tetrode, c, item, p1, p2 from {before} where c not in ('{k}', '{m}') or tetrode not in (select tetrode from w{t})
+    union all select h.tetrode, win, item, p1, p2 from h{t} h join w{t} using (tetrode) where win <> 'part'
+    union all select h.tetrode, case when ia then '{k}' else '{m}' end, item, p1, p2 from h{t} h join w{t} using (tetrode) where win = 'part' and not (ia and ib)
+    union all select tetrode, case when ka then '{k}' else '{m}' end, item, p1, p2 from n{t} join w{t} using (tetrode) where win = 'part' and (ka or kb))"""
+
+
+_ORDER = ["A", "N", "R"]
+_STEPS = [(k, m) for i, k in enumerate(_ORDER) for m in _ORDER[i + 1 :]]
+_D2 = "(f.c22 * pow(o.p1 - f.m1, 2) - 2 * f.c12 * (o.p1 - f.m1) * (o.p2 - f.m2) + f.c11 * pow(o.p2 - f.m2, 2)) / (f.c11 * f.c22 - f.c12 * f.c12)"
+FILLED = f"""one as (select tetrode, item, c, p1, p2 from (select *, left(cluster_id, 1) as c, row_number() over (partition by tetrode, item order by cluster_id, p1, p2) as r from p) where r = 1),
+  fit as (select tetrode, c, avg(p1) as m1, avg(p2) as m2, covar_samp(p1, p1) as c11, covar_samp(p1, p2) as c12, covar_samp(p2, p2) as c22 from one group by 1, 2 having count(*) > 3),
+  m0 as materialized (select tetrode, f.c, item, o.p1, o.p2 from one o join fit f using (tetrode) where f.c = o.c or {_D2} < {NEAR.format('f.c')})"""
+
+
+def _filled(spark, sf_dir):
+    """Each cluster of a recording with its own items and those near the middle of its distribution."""
+    first = F.min(F.struct("cluster_id", "p1", "p2")).alias("x")  # item numbers repeat in the table
+    rows = V.peaks(spark, sf_dir).groupBy("tetrode", "item").agg(first).select("tetrode", "item", F.left("x.cluster_id", F.lit(1)).alias("own"), "x.p1", "x.p2")
+    fit = moments.moments(rows, ["tetrode", "own"], ["p1", "p2"]).where("n > 3").withColumnRenamed("own", "cluster_id")
+    near = rows.join(fit, "tetrode").where((F.col("own") == F.col("cluster_id")) | (moments.mahalanobis_2d("p1", "p2") < F.expr(NEAR.format("cluster_id"))))
+    return near.select("tetrode", "cluster_id", "item", "p1", "p2")
+
+
+@query(f"with {F3}, {FILLED}, " + ", ".join(_settle_sql(i + 1, f"m{i}", k, m) for i, (k, m) in enumerate(_STEPS)) + f" select tetrode, c as cluster_id, item from m{len(_STEPS)}")
+def settle_overlaps(spark, sf_dir):
+    """All recordings' overlapping clusters, merged or parted pair by pair."""
+    return overlaps.settled(_filled(spark, sf_dir), ["tetrode"], "cluster_id", "item", ["p1", "p2"]).select("tetrode", "cluster_id", "item")
