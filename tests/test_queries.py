@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waveforge.functions import waveform as W
-from waveforge.operators import fuzzy, grading, trains
+from waveforge.operators import cores, grading, steps, trains
 from waveforge.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -68,12 +68,13 @@ def test_grades_with_nan_take_no_rule_that_compares_them(spark):
 
 def test_fuzzy_clustering_finds_planted_groups(spark):
     points = [(i, 10.0 * (i % 3) + (i % 7) * 0.05, 20.0 * (i % 3) + (i % 5) * 0.05) for i in range(120)]
-    frame = spark.createDataFrame(points, "id long, x double, y double").cache()
-    centers, value = fuzzy.best_partition(frame, ["x", "y"], 4, "id", max_iter=30)
-    assert len(centers) == 3 and value > 0.9
+    frame = spark.createDataFrame(points, "id long, x double, y double").select(F.lit(0).alias("all"), "id", F.array("x", "y").alias("x")).cache()
+    fits = cores.fit_groups(frame, ["all"], "id", 4, 2, steps.Stages(spark), max_iter=30).withColumn("weights", F.array(F.lit(1.0), F.lit(1.0)))
+    found = fits.first()
+    assert found["k"] == 3 and found["validity"] > 0.9
     groups = {}
-    for r in fuzzy.assign(frame, ["x", "y"], centers).collect():
-        groups.setdefault(r["cluster"], set()).add(r["id"] % 3)
+    for r in cores.assigned(frame, fits, ["all"]).collect():
+        groups.setdefault(r["child"], set()).add(r["id"] % 3)
     assert sorted(map(tuple, groups.values())) == [(0,), (1,), (2,)]
 
 

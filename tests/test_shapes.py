@@ -127,5 +127,4 @@ def test_passes_and_empty_tables(spark):
     assert shapes.pass_thresholds(1) == [] and shapes.pass_thresholds(5) == [2.0, 2.0 - 2 / 3, 2.0 - 4 / 3, 0.0]
     empty = spark.createDataFrame([], "spike_id long, a double, b double, cluster_id int")
     assert shapes.passes(empty.withColumn("score", F.col("a")), "score", 5).count() == 0
-    assert sorting.core_clusters(empty, ["a", "b"], "spike_id").count() == 0
     assert shapes.overlap_test(empty, ["cluster_id"], "a").count() == 0

@@ -1,4 +1,4 @@
-"""Deterministic fuzzy c-means as distributed aggregation.
+"""Single steps of fuzzy c-means as one aggregation; :mod:`.cores` has whole fits, of all groups at once.
 
 A step is one aggregation over the rows: memberships follow from the current
 centers (a few literals), and each partition only sends sums, so a group of any
@@ -51,30 +51,3 @@ def fit(rows: DataFrame, dims: list[str], centers: list[list[float]], max_iter:
 def validity(coefficient: float, k: int) -> float:
     """The modified partition coefficient: 1 for a crisp partition, 0 for an even one."""
     return 1 - k / (k - 1) * (1 - coefficient)
-
-
-def best_partition(rows: DataFrame, dims: list[str], k_max: int, key: str, max_iter: int = 50, epsilon: float = 1e-5) -> tuple[list[list[float]], float]:
-    """Centers of the number of clusters with the best validity, and that validity.
-
-    Starts from the mean; each further center is the row nearest to all centers so
-    far, shifted by 1e-5 (ties: the smallest ``key``).
-    """
-    rows = rows.select(key, *dims).persist()  # read in every step
-    mean = rows.agg(*(F.avg(d).alias(d) for d in dims)).first()
-    centers, best = [[mean[d] for d in dims]], ([[mean[d] for d in dims]], 0.0)
-    for k in range(2, k_max + 1):
-        d2 = squared_distances(dims, centers)
-        near = rows.agg(F.min(F.struct(sum(d2[1:], d2[0]).alias("d"), F.col(key), *dims)).alias("x")).first()["x"]
-        centers, coefficient = fit(rows, dims, [*centers, [near[d] + 1e-5 for d in dims]], max_iter, epsilon)
-        if (got := validity(coefficient, k)) > best[1]:
-            best = (centers, got)
-    rows.unpersist()
-    return best
-
-
-def assign(rows: DataFrame, dims: list[str], centers: list[list[float]]) -> DataFrame:
-    """``rows`` with ``cluster``: the center of largest membership, one row for each in a tie."""
-    u = memberships(dims, centers)
-    most = F.greatest(*u) if len(u) > 1 else u[0]
-    ties = F.filter(F.array(*(F.when(m == most, i) for i, m in enumerate(u))), lambda x: x.isNotNull())
-    return rows.withColumn("cluster", F.explode(ties))

@@ -1,4 +1,4 @@
-"""Sorting spikes into clusters: weights of dimensions, cores, expansion and refinement.
+"""Sorting spikes into clusters: expansion and refinement of cores.
 
 Every step is an aggregation or an equi-join with a table of clusters; cluster tables, centres and thresholds are
 all that is small.  Steps that are read several times are persisted, so a lost executor costs their recomputation.
@@ -11,40 +11,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import fuzzy, geometry, shapes
+from . import geometry, shapes
 from .moments import moments
 
 
-def dimension_weights(rows: DataFrame, dims: list[str], key: str, k_max: int = 4, max_iter: int = 50, least_validity: float = 0.75) -> dict[str, int]:
-    """(k - 1)^2 for the number k of clusters that each dimension alone divides into best; k is 1 under ``least_validity``."""
-    rows = rows.select(key, *dims).persist()
-    found = {}
-    for d in dims:
-        centers, validity = fuzzy.best_partition(rows, [d], k_max, key, max_iter)
-        k = len(centers) if validity >= least_validity else 1
-        found[d] = (k - 1) ** 2
-    rows.unpersist()
-    return found
-
-
-def core_clusters(rows: DataFrame, dims: list[str], key: str, k_max: int = 6, max_iter: int = 50, least: int = 50) -> DataFrame:
-    """``rows`` with ``cluster``: the best fuzzy partition of the weighted dimensions, a row in each cluster of its largest degree.
-
-    Under ``least`` rows there is none; where no dimension divides, all rows are one cluster; clusters of under ``least`` rows go with their rows.
-    """
-    if rows.limit(least).count() < least:
-        return rows.withColumn("cluster", F.lit(0)).where(F.lit(False))
-    weights = {d: w for d, w in dimension_weights(rows, dims, key, max_iter=max_iter).items() if w}
-    if not weights:
-        return rows.withColumn("cluster", F.lit(0))
-    scaled = rows.withColumns({f"scaled_{d}": F.col(d) * w for d, w in weights.items()}).persist()
-    names = [f"scaled_{d}" for d in weights]
-    centers, _ = fuzzy.best_partition(scaled, names, k_max, key, max_iter)
-    assigned = fuzzy.assign(scaled, names, centers).drop(*names)
-    enough = assigned.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least).select("cluster")
-    return assigned.join(enough, "cluster", "left_semi")
-
-
 def chi2_limit(share: float, dims: int) -> float:
     """The value that a chi-squared variable stays under with probability ``share``; the tail by its recurrence, the inverse by bisection."""
 

@@ -1,3 +1,3 @@
 """Query plans; importing the package registers all of them in :mod:`.catalogue`."""
 
-from . import catalogue, isolation, recordings, sorting, spikes  # noqa: F401
+from . import catalogue, clusters, isolation, recordings, sorting, spikes  # noqa: F401

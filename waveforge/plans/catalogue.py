@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import waveform as W
-from ..operators import fuzzy, geometry, grading, moments
+from ..operators import cores, fuzzy, geometry, grading, moments, steps
 from ..operators import trains as T
 from ..sources import views as V
 
@@ -373,6 +373,7 @@ def fcm_step(spark, sf_dir):
 
 @query()
 def fcm_cluster(spark, sf_dir):
-    rows = _xy(spark, sf_dir)
-    centers, _ = fuzzy.best_partition(rows, ["a", "b"], 6, "spike_id", max_iter=50)
-    return fuzzy.assign(rows, ["a", "b"], centers).select("spike_id", "cluster")
+    stages = steps.Stages(spark)
+    rows = stages(_xy(spark, sf_dir).select(F.lit(0).alias("recording"), "spike_id", F.array("a", "b").alias("x")), "rows")
+    fits = cores.fit_groups(rows, ["recording"], "spike_id", k_max=6, n_dims=2, stages=stages).withColumn("weights", F.array(F.lit(1.0), F.lit(1.0)))
+    return cores.assigned(rows, fits, ["recording"]).select("spike_id", F.col("child").alias("cluster"))

@@ -28,7 +28,7 @@ SPLIT = f"""pv as (select spike_id, ts_us, cluster_id, w1, w2, {_listed("w1", 1)
   od as (select *, coalesce(bool_or(lo0 is null or up0 is null) over (partition by spike_id order by wire, p), false) as spoiled from en),
   sh as (select *, case when w1[lo0] <= w1[p] and w2[lo0] <= w2[p] then lo0 else list_min(list_filter(range(lo0 + 1, p), lambda i: w1[i] <= w1[p] and w2[i] <= w2[p])) end as lo,
     case when w1[up0] <= w1[p] and w2[up0] <= w2[p] then up0 else list_max(list_filter(range(p + 1, up0), lambda i: w1[i] <= w1[p] and w2[i] <= w2[p])) end as up from od where not spoiled),
-  parts as (select spike_id, cluster_id, row_number() over (partition by spike_id order by wire, p) as part, wire, p, lo, up, ts_us + (lo - 1) * 1000.0 / 32 as ts, w1[lo:up] as v1, w2[lo:up] as v2, (32 - (up - lo + 1)) // 2 as start from sh where lo is not null and up is not null)"""
+  parts as (select spike_id, cluster_id, row_number() over (partition by spike_id order by wire, p) as part, wire, p, lo, up, ts_us::double + (lo - 1)::double * 1000.0::double / 32::double as ts, w1[lo:up] as v1, w2[lo:up] as v2, (32 - (up - lo + 1)) // 2 as start from sh where lo is not null and up is not null)"""
 
 
 def _parts(spark, sf_dir):
@@ -40,10 +40,10 @@ def _weighed(wave: str):
     return F.aggregate(F.transform(wave, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
-@query(f"""with {F1}, {SPLIT} select spike_id, part, wire as part_wire, p - 1 as part_at, lo - 1 as lower, up - 1 as upper, round(ts, 3) as ts_us,
+@query(f"""with {F1}, {SPLIT} select spike_id, part, wire as part_wire, p - 1 as part_at, lo - 1 as lower, up - 1 as upper, floor(ts)::bigint as ts_us,
   round(list_sum(list_transform(v1, lambda x, i: x * (i + start))), 6) as m1, round(list_sum(list_transform(v2, lambda x, i: x * (i + start))), 6) as m2 from parts""")
 def split_spikes(spark, sf_dir):
-    return _parts(spark, sf_dir).select("spike_id", "part", "part_wire", "part_at", "lower", "upper", F.round("ts_us", 3).alias("ts_us"), r6(_weighed("w1"), "m1"), r6(_weighed("w2"), "m2"))
+    return _parts(spark, sf_dir).select("spike_id", "part", "part_wire", "part_at", "lower", "upper", F.floor("ts_us").alias("ts_us"), r6(_weighed("w1"), "m1"), r6(_weighed("w2"), "m2"))
 
 
 @query(f"""with {F1}, {XY}, {MOM}, {SPLIT}, lm as (select cluster_id, median(d) + 2.5 * stddev_samp(d) as limit_ from (select cluster_id, {MAHAL} as d from x join m using (cluster_id)) group by 1),
