@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import waveform
+from . import selection
 
 MAX_SHORT_ISI = 0.05
 
@@ -80,12 +81,10 @@ def incompleteness(rows: DataFrame, key: str, value: str, threshold: Column, bin
     return counts.groupBy(key).agg((F.sum(mirrored + own) / total).alias("below"))
 
 
-def core_rows(rows: DataFrame, key: str, distance: str, tie: str) -> DataFrame:
-    """The core of each cluster: its k nearest rows, k = min(round(.6 n), max(200, round(.3 n)))."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+def core_rows(rows: DataFrame, key: str | list[str], distance: str, tie: str) -> DataFrame:
+    """The core of each cluster: its k nearest rows, k = min(round(.6 n), max(200, round(.3 n))).  ``key``: a column or several."""
     k = F.least(F.round(0.6 * F.col("n")), F.greatest(F.lit(200.0), F.round(0.3 * F.col("n"))))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(distance, tie))
-    return rows.withColumn("rank", rank).join(sizes, key).where(F.col("rank") <= k).drop("n")
+    return selection.lowest(rows, [key] if isinstance(key, str) else key, distance, tie, k)
 
 
 def overlaps(members: DataFrame, a: str, b: str, item: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import waveform as W
-from . import geometry
+from . import geometry, selection
 from .moments import moments
 
 
@@ -151,7 +151,7 @@ def classified(members: DataFrame, new: DataFrame, key: str, item: str | list[st
     """
     keys, items = [*(by or []), key], [item] if isinstance(item, str) else item
     fit = geometry.factored(moments(members, keys, dims), dims)
-    own = members.join(fit, keys).withColumn("d", geometry.mahalanobis(dims)).groupBy(*keys).agg((F.median("d") + n_std * F.stddev("d")).alias("limit"))
-    clusters = fit.join(own, keys)
+    own = members.join(fit, keys).withColumn("d", geometry.mahalanobis(dims))
+    clusters = fit.join(selection.limits(own, keys, "d", n_std), keys)
     near = (new.join(clusters, by, "left") if by else new.crossJoin(clusters)).withColumn("d", geometry.mahalanobis(dims))
     return near.groupBy(*(by or []), *items).agg(F.coalesce(F.max(F.when(F.col("d") < F.col("limit"), F.col(key))), F.lit(0)).cast("int").alias(key))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import geometry, shapes
+from . import geometry, selection, shapes
 from .moments import moments
 
 
@@ -56,7 +56,7 @@ def expanded(rows: DataFrame, cores: DataFrame, key: str, item: str, dims: list[
     if not clean:
         return inside.select(key, item)
     own = inside.join(geometry.factored(moments(inside, [key], dims), dims).where(F.col("n") > len(dims)), key).withColumn("d", geometry.mahalanobis(dims)).select(key, item, "d")
-    limits = own.groupBy(key).agg((F.median("d") + n_std * F.stddev("d")).alias("limit"))
+    limits = selection.limits(own, [key], "d", n_std)
     return own.join(limits, key).where(F.col("d") < F.col("limit")).select(key, item)
 
 
@@ -70,6 +70,6 @@ def cleaned(rows: DataFrame, key: str, item: str, dims: list[str], rounds: int =
     """``rows`` after rounds that keep those within median + ``n_std`` deviations of their cluster's distances."""
     for _ in range(rounds):
         far = rows.join(geometry.factored(moments(rows, [key], dims), dims).select(key, *(f"mu_{d}" for d in dims), *(f"d_{i}" for i in range(len(dims))), *(f"l_{i}_{j}" for i in range(len(dims)) for j in range(i))), key).withColumn("distance", geometry.mahalanobis(dims)).select(*rows.columns, "distance")
-        limits = far.groupBy(key).agg((F.median("distance") + n_std * F.stddev("distance")).alias("limit"))
+        limits = selection.limits(far, [key], "distance", n_std)
         rows = far.join(limits, key).where(F.col("distance") < F.col("limit")).select(*rows.columns)
     return rows

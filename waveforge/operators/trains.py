@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def intervals(train: DataFrame, unit: str = "unit", ts: str = "ts_us", key: str = "event_id") -> DataFrame:
-    """``train`` with ``isi``: seconds since the unit's event before (null for its first)."""
-    before = F.lag(ts).over(Window.partitionBy(unit).orderBy(ts, key))
-    return train.withColumn("isi", (F.col(ts) - before) / 1e6)
+    """``train`` with ``isi``: seconds since the unit's event before (null for its first); a unit may hold any share of the events."""
+    near = selection.with_neighbours(train, [unit], [ts, key], before={"_before": ts})
+    return near.withColumn("isi", (F.col(ts) - F.col("_before")) / 1e6).drop("_before")
 
 
 def share(condition: Column, among: Column) -> Column:
@@ -18,19 +20,19 @@ def share(condition: Column, among: Column) -> Column:
 
 
 def train_report(train: DataFrame, short: float, burst: tuple[float, float]) -> DataFrame:
-    """Per unit: counts, interval statistics, rate, share of the recording, stationarity.  Two shuffles of the train, of which one only carries sums."""
+    """Per unit: counts, interval statistics, rate, share of the recording, stationarity.  Medians and intervals of units of any size."""
     whole = train.agg(F.avg("ts_us").alias("mean_ts"), F.stddev("ts_us").alias("std_ts"), F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     unit = intervals(train).groupBy("unit").agg(
         F.count("*").alias("n_spikes"),
         F.avg("isi").alias("isi_mean"),
         F.avg((F.col("isi") < short).cast("int")).alias("short_isi"),
         (F.sum((F.col("isi") < burst[0]).cast("int")) / F.nullif(F.sum((F.col("isi") < burst[1]).cast("int")), F.lit(0))).alias("burst_ratio"),
-        F.median("ts_us").alias("median_ts"),
         F.stddev("ts_us").alias("unit_std"),
         F.min("ts_us").alias("first_ts"),
         F.max("ts_us").alias("last_ts"),
     )
-    joined = unit.crossJoin(F.broadcast(whole))  # one row
+    middle = selection.medians(train, ["unit"], "ts_us").withColumnRenamed("median", "median_ts")
+    joined = unit.join(middle, "unit").crossJoin(F.broadcast(whole))  # one row
     return joined.select(
         "unit",
         "n_spikes",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import waveform as W
-from ..operators import cores, fuzzy, geometry, grading, moments, steps
+from ..operators import cores, fuzzy, geometry, grading, moments, selection, steps
 from ..operators import trains as T
 from ..sources import views as V
 
@@ -94,10 +94,9 @@ def zscore_detect(spark, sf_dir):
     train = V.trains(spark, sf_dir)
     stats = train.groupBy("wire").agg(F.avg("amplitude").alias("m"), F.stddev("amplitude").alias("s"))
     z = train.join(stats, "wire").withColumn("z", (F.col("amplitude") - F.col("m")) / F.col("s"))
-    near = Window.partitionBy("wire").orderBy("ts_us", "event_id")
     low = F.lit(float("-inf"))
-    z = z.withColumn("a", F.coalesce(F.lag("z").over(near), low)).withColumn("b", F.coalesce(F.lead("z").over(near), low))
-    return z.where("z >= 3 and z > a and z >= b").select("wire", "event_id", r6("z", "z"))
+    z = selection.with_neighbours(z, ["wire"], ["ts_us", "event_id"], before={"a": "z"}, after={"b": "z"})
+    return z.where((F.col("z") >= 3) & (F.col("z") > F.coalesce("a", low)) & (F.col("z") >= F.coalesce("b", low))).select("wire", "event_id", r6("z", "z"))
 
 
 @query(f"with {F2} select event_id, round((amplitude - min(amplitude) over ()) / (max(amplitude) over () - min(amplitude) over ()) * 2 - 1, 6) as scaled from t")
@@ -301,7 +300,9 @@ def bhat_min(spark, sf_dir):
   select spike_id, cluster_id, rank from r where rank <= least(round(0.6 * n), greatest(200, round(0.3 * n)))""")
 def core_topk(spark, sf_dir):
     rows = _mahal(spark, sf_dir).select("spike_id", "cluster_id", "d")
-    return grading.core_rows(rows, "cluster_id", "d", "spike_id").select("spike_id", "cluster_id", F.col("rank").cast("long").alias("rank"))
+    core = grading.core_rows(rows, "cluster_id", "d", "spike_id")
+    ranked = selection.numbered(core, ["cluster_id"], ["d", "spike_id"], steps.Stages(spark))
+    return ranked.select("spike_id", "cluster_id", (F.col("place") + 1).alias("rank"))
 
 
 @query(f"""with {F1}, {XY}, {MOM.replace('covar_samp', 'covar_pop')}, o as (select cluster_id, median(d) + stddev_samp(d) as limit_ from (select cluster_id, {MAHAL} as d from x join m using (cluster_id)) group by 1)
@@ -310,7 +311,7 @@ def gaussian_fill(spark, sf_dir):
     rows = _xy(spark, sf_dir)
     table = moments.moments(rows, ["cluster_id"], ["a", "b"], sample=False)
     own = rows.join(table, "cluster_id").withColumn("d", moments.mahalanobis_2d("a", "b"))
-    limits = own.groupBy("cluster_id").agg((F.median("d") + F.stddev("d")).alias("limit"))
+    limits = selection.limits(own, ["cluster_id"], "d", 1.0)
     # every row meets the table of clusters, a few rows; no pair of rows is made
     clusters = table.join(limits, "cluster_id")
     hit = rows.withColumnRenamed("cluster_id", "own").crossJoin(clusters).where((F.col("own") == F.col("cluster_id")) | (moments.mahalanobis_2d("a", "b") < F.col("limit")))

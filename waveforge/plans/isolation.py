@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, grading, moments
+from ..operators import geometry, grading, moments, selection
 from ..operators import trains as T
 from ..sources import views as V
 from .catalogue import F1, F3, XY, _xy, query, r6
@@ -113,7 +113,8 @@ def nearby_unsorted(spark, sf_dir):
     rows, key = _big(spark, sf_dir), ["tetrode", "cluster_id"]
     table = moments.moments(rows, key, DIMS)
     fit = geometry.factored(table, DIMS)
-    own = rows.join(fit, key).withColumn("d", geometry.mahalanobis(DIMS)).groupBy(*key).agg(F.count("*").alias("size"), (F.median("d") + 5 * F.stddev("d")).alias("limit")).where("cluster_id <> 'NO'")
+    far = rows.where("cluster_id <> 'NO'").join(fit, key).withColumn("d", geometry.mahalanobis(DIMS)).select(*key, "d")
+    own = far.groupBy(*key).agg(F.count("*").alias("size")).join(selection.limits(far, key, "d", 5.0), key)
     loose = rows.where("cluster_id = 'NO'").drop("cluster_id")
     near = loose.join(fit.join(own, key), "tetrode").where(geometry.mahalanobis(DIMS) < F.col("limit")).select(*key, *DIMS)
     found = moments.moments(near, key, DIMS)
