@@ -61,7 +61,7 @@ def test_geometry_equals_linear_algebra(spark):
     assert both == pytest.approx(d @ np.linalg.inv(mean) @ d / 8 + math.log(np.linalg.det(mean) / math.sqrt(np.linalg.det(np.cov(x.T)) * np.linalg.det(np.cov(y.T)))) / 2, rel=1e-6)
     z = spark.createDataFrame([(0.0,), (0.3,), (1.0,), (2.5,)], "z double")
     assert np.allclose([r[0] for r in z.select(geometry.erfc(F.col("z"))).collect()], [math.erfc(v) for v in (0.0, 0.3, 1.0, 2.5)], atol=2e-7)
-    assert [round(sorting.chi2_limit(0.99, d), 4) for d in (1, 2, 3, 4, 11)] == [6.6349, 9.2103, 11.3449, 13.2767, 24.725]
+    assert [round(shapes.chi2_limit(0.99, d), 4) for d in (1, 2, 3, 4, 11)] == [6.6349, 9.2103, 11.3449, 13.2767, 24.725]
 
 
 def test_half_peak_valley_and_representative_wire(spark):

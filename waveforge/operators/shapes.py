@@ -105,6 +105,23 @@ def smoothed(counts: DataFrame, key: str, at: str, value: str, reach: int = 2) -
     return near.where(F.abs(F.col("from") - F.col("to")) <= F.col("r")).groupBy(key, F.col("to").alias(at)).agg(F.avg("v").alias("smooth"))
 
 
+def chi2_limit(share: float, dims: int) -> float:
+    """The value that a chi-squared variable stays under with probability ``share``; the tail by its recurrence, the inverse by bisection."""
+
+    def tail(x: float) -> float:
+        n, out = (2, math.exp(-x / 2)) if dims % 2 == 0 else (1, math.erfc(math.sqrt(x / 2)))
+        while n < dims:
+            out += math.exp(n / 2 * math.log(x / 2) - x / 2 - math.lgamma(n / 2 + 1)) if x else 0.0
+            n += 2
+        return out
+
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if tail(mid) > 1 - share else (lo, mid)
+    return (lo + hi) / 2
+
+
 def overlap_test(rows: DataFrame, keys: list[str], value: str, points: int = 100) -> DataFrame:
     """``keys, passed, good``: whether the values of a group have more than one mode.
 

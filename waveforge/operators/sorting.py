@@ -1,48 +1,34 @@
 """Sorting spikes into clusters: expansion and refinement of cores.
 
 Every step is an aggregation or an equi-join with a table of clusters; cluster tables, centres and thresholds are
-all that is small.  Steps that are read several times are persisted, so a lost executor costs their recomputation.
+all that is small.  Steps that are read several times are written, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry, selection, shapes
 from .moments import moments
+from .steps import Stages
 
 
-def chi2_limit(share: float, dims: int) -> float:
-    """The value that a chi-squared variable stays under with probability ``share``; the tail by its recurrence, the inverse by bisection."""
-
-    def tail(x: float) -> float:
-        n, out = (2, math.exp(-x / 2)) if dims % 2 == 0 else (1, math.erfc(math.sqrt(x / 2)))
-        while n < dims:
-            out += math.exp(n / 2 * math.log(x / 2) - x / 2 - math.lgamma(n / 2 + 1)) if x else 0.0
-            n += 2
-        return out
-
-    lo, hi = 0.0, 1000.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if tail(mid) > 1 - share else (lo, mid)
-    return (lo + hi) / 2
-
-
-def expanded(rows: DataFrame, cores: DataFrame, key: str, item: str, dims: list[str], clean: bool = True, n_std: float = 1.0, scale: float = 15.0, bins_per_unit: float = 0.25) -> DataFrame:
-    """``key, item``: the rows around each core up to the first valley of the smoothed counts of their distances to it.
+def expanded(rows: DataFrame, cores: DataFrame, key: str, item: str, dims: list[str], clean: bool = True, n_std: float = 1.0, scale: float = 15.0, bins_per_unit: float = 0.25, by: list[str] | None = None) -> DataFrame:
+    """``by, key, item``: the rows around each core up to the first valley of the smoothed counts of their distances to it.
 
     Distances are to the core's distribution, up to ``chi2(.99) * scale``, in bins of equal width.  Without a valley a
     clean expansion is empty, another takes the last bin.  A clean one keeps rows within median + ``n_std``
-    deviations of their own distribution.  Rows meet the table of cores, a row a cluster.
+    deviations of their own distribution.  Rows meet the cores of their recording (``by``; one recording where it is left out), a row a cluster;
+    ``key`` tells the clusters of all recordings apart.
     """
-    limit = chi2_limit(0.99, len(dims)) * scale
+    stages = Stages(rows.sparkSession)
+    of = by or []
+    limit = shapes.chi2_limit(0.99, len(dims)) * scale
     bins = int(limit * bins_per_unit + 0.5)
-    fit = geometry.factored(moments(cores, [key], dims), dims).where(F.col("n") > len(dims))
-    near = rows.select(item, *dims).crossJoin(fit).withColumn("m", geometry.mahalanobis(dims)).where(F.col("m") < limit).select(key, item, *dims, "m").persist()
+    fit = geometry.factored(moments(cores, [*of, key], dims), dims).where(F.col("n") > len(dims))
+    met = rows.select(*of, item, *dims).join(fit, of) if of else rows.select(item, *dims).crossJoin(fit)
+    near = stages(met.withColumn("m", geometry.mahalanobis(dims)).where(F.col("m") < limit).select(*of, key, item, *dims, "m"), "near")
     ends = near.groupBy(key).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     binned = near.join(ends, key).where("hi > lo").withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("m") - F.col("lo")) / width)).cast("int"))
@@ -52,12 +38,12 @@ def expanded(rows: DataFrame, cores: DataFrame, key: str, item: str, dims: list[
     valley = smooth.select(key, F.transform("s", lambda x: x["smooth"]).alias("f")).select(key, (shapes.first_valley("f", float("inf"), only_left=True)["valley"] - 1).alias("valley"))
     at = F.when(F.col("valley") >= 0, F.col("valley")).otherwise(F.lit(None) if clean else F.lit(bins - 1))
     threshold = ends.where("hi > lo").join(valley, key).select(key, (F.col("lo") + (at + 0.5) * width).alias("threshold"))
-    inside = near.join(threshold, key).where(F.col("m") < F.col("threshold")).select(key, item, *dims)
+    inside = near.join(threshold, key).where(F.col("m") < F.col("threshold")).select(*of, key, item, *dims)
     if not clean:
-        return inside.select(key, item)
-    own = inside.join(geometry.factored(moments(inside, [key], dims), dims).where(F.col("n") > len(dims)), key).withColumn("d", geometry.mahalanobis(dims)).select(key, item, "d")
+        return inside.select(*of, key, item)
+    own = inside.join(geometry.factored(moments(inside, [key], dims), dims).where(F.col("n") > len(dims)), key).withColumn("d", geometry.mahalanobis(dims)).select(*of, key, item, "d")
     limits = selection.limits(own, [key], "d", n_std)
-    return own.join(limits, key).where(F.col("d") < F.col("limit")).select(key, item)
+    return own.join(limits, key).where(F.col("d") < F.col("limit")).select(*of, key, item)
 
 
 def bad_clusters(rows: DataFrame, key: str, dims: list[str]) -> DataFrame:

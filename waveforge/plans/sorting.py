@@ -34,7 +34,7 @@ def feature_lines(spark, sf_dir):
     return features.feature_lines(_recording(spark, sf_dir), "tetrode", "spike_id", ["w1", "w2"])
 
 
-LIMIT = sorting.chi2_limit(0.99, 2) * 15
+LIMIT = shapes.chi2_limit(0.99, 2) * 15
 BINS = int(LIMIT * 0.25 + 0.5)
 CORE = f"""dd as (select spike_id, cluster_id, n, {MAHAL} as d from x join m using (cluster_id)), rk as (select *, row_number() over (partition by cluster_id order by d, spike_id) as rank from dd),
   core as (select cluster_id, a, b from x join (select spike_id from rk where rank <= least(round(0.6 * n), greatest(200, round(0.3 * n)))) using (spike_id)),
