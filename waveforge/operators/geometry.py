@@ -177,32 +177,36 @@ def rates_1d(rows: DataFrame, group: str, key: str, dims: list[str]) -> DataFram
     return got.select(group, key, F.inline(F.array(*(F.struct(F.lit(x).alias("dim"), F.col(x).alias("rate")) for x in dims))))
 
 
-def density(rows: DataFrame, dims: list[str], bin_width: float = 10.0, factor: float = 1.25, max_bins: int = 60, max_window: int = 10) -> DataFrame:
-    """The rows in cells that hold clearly more than the occupied cells around them.
+def density(rows: DataFrame, dims: list[str], bin_width: float = 10.0, factor: float = 1.25, max_bins: int = 60, max_window: int = 10, by: list[str] | None = None) -> DataFrame:
+    """The rows in cells that hold clearly more than the occupied cells around them, recording by recording (``by``; one recording where it is left out).
 
     Cells are about ``bin_width`` wide: round(range / width) a dimension, the largest value in one
     of its own.  The box around a cell is ceil(std / 7) cells wide; its sums are made a dimension at
     a time over occupied cells, so each step sends a cell to one line of neighbours.  With a single
     bin in some dimension, all windows of one cell, or more than ``max_bins``^4 cells or ``max_window``^4
-    window cells, all rows stay.
+    window cells, all rows of a recording stay.
     """
-    stats = rows.agg(*(F.min(x).alias(f"lo_{x}") for x in dims), *(F.max(x).alias(f"hi_{x}") for x in dims), *(F.stddev(x).alias(f"s_{x}") for x in dims)).first()
-    if stats[f"lo_{dims[0]}"] is None:
-        return rows
-    half_up = lambda v: int(v + 0.5)
-    bins = [half_up((stats[f"hi_{x}"] - stats[f"lo_{x}"]) / bin_width) for x in dims]
-    window = [-int(-(stats[f"s_{x}"] or 0.0) // 7) for x in dims]
-    if min(bins) <= 1 or math.prod(bins) > max_bins**4 or set(window) == {1} or math.prod(window) > max_window**4:
-        return rows
-    cell = [F.floor((F.col(x) - stats[f"lo_{x}"]) / ((stats[f"hi_{x}"] - stats[f"lo_{x}"]) / n)).alias(f"b{i}") for i, (x, n) in enumerate(zip(dims, bins, strict=True))]
-    keys = [f"b{i}" for i in range(len(dims))]
-    placed = rows.select("*", *cell)
-    cells = placed.groupBy(*keys).agg(F.count("*").alias("n"))
+    columns = rows.columns
+    of = by or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    stats = rows.groupBy(*of).agg(*(F.min(x).alias(f"lo_{i}") for i, x in enumerate(dims)), *(F.max(x).alias(f"hi_{i}") for i, x in enumerate(dims)), *(F.coalesce(F.stddev(x), F.lit(0.0)).alias(f"s_{i}") for i, x in enumerate(dims)))
+    each = range(len(dims))
+    stats = stats.select("*", *(F.floor((F.col(f"hi_{i}") - F.col(f"lo_{i}")) / bin_width + 0.5).alias(f"n_{i}") for i in each), *(F.ceil(F.col(f"s_{i}") / 7).alias(f"w_{i}") for i in each))
+    product = lambda x: math.prod([F.col(f"{x}_{i}").cast("double") for i in each[1:]], start=F.col(f"{x}_0").cast("double"))
+    single = total([(F.col(f"w_{i}") != 1).cast("int") for i in each]) == 0
+    cut = (total([(F.col(f"n_{i}") <= 1).cast("int") for i in each]) == 0) & (product("n") <= max_bins ** 4) & ~single & (product("w") <= max_window ** 4)
+    stats = stats.withColumn("cut", F.coalesce(cut, F.lit(False)))
+    width = lambda i: (F.col(f"hi_{i}") - F.col(f"lo_{i}")) / F.col(f"n_{i}")
+    keys = [f"b{i}" for i in each]
+    joined = rows.join(F.broadcast(stats), of) if not by else rows.join(stats, of)
+    placed = joined.where("cut").select(*rows.columns, *(F.floor((F.col(x) - F.col(f"lo_{i}")) / width(i)).alias(f"b{i}") for i, x in enumerate(dims)), *(f"w_{i}" for i in each))
+    cells = placed.groupBy(*of, *keys, *(f"w_{i}" for i in each)).agg(F.count("*").alias("n"))
     sums = cells.withColumn("m", F.lit(1).cast("long"))
-    for key, w in zip(keys, window, strict=True):
+    for i, key in enumerate(keys):
         # a box of even width reaches one cell further up than down
-        sent = sums.withColumn(key, F.explode(F.sequence(F.col(key) - w // 2, F.col(key) + (w - 1 - w // 2))))
-        sums = sent.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    mean = sums.select(*keys, (F.col("n") / F.col("m")).alias("mean"))
-    dense = cells.join(mean, keys).where(((F.col("n") > 1) | (F.col("mean") > 1)) & (F.col("n") > factor * F.col("mean"))).select(*keys)
-    return placed.join(dense, keys, "left_semi").drop(*keys)
+        half = F.floor(F.col(f"w_{i}") / 2)
+        sent = sums.withColumn(key, F.explode(F.sequence(F.col(key) - half, F.col(key) + F.col(f"w_{i}") - 1 - half)))
+        sums = sent.groupBy(*of, *keys, *(f"w_{j}" for j in each)).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    mean = sums.select(*of, *keys, (F.col("n") / F.col("m")).alias("mean"))
+    dense = cells.join(mean, [*of, *keys]).where(((F.col("n") > 1) | (F.col("mean") > 1)) & (F.col("n") > factor * F.col("mean"))).select(*of, *keys)
+    return placed.join(dense, [*of, *keys], "left_semi").select(*columns).union(joined.where("not cut").select(*columns))
