@@ -42,7 +42,9 @@ def test_groups_are_found_in_the_pass_that_the_schedule_says(spark):
     x = np.concatenate([r.normal(c, 1.5, (n, 2)) for c, n in zip(centres, sizes, strict=True)])
     owner = np.repeat([1, 2, 3], sizes)
     y = np.concatenate([r.normal((0, 0), 1.5, (300, 2)), r.normal((50, -40), 1.5, (300, 2))])
-    rec = recording(spark, {"a": x, "b": y})
+    noise = r.uniform(-80, 110, (2500, 2))  # in no pass, but among the rows that clusters are expanded in
+    owner = np.concatenate([owner, np.zeros(len(noise), int)])
+    rec = recording(spark, {"a": np.concatenate([x, noise]), "b": np.concatenate([y, noise])})
     # the first pass of "a" sees two groups, the second all; "b" has both in the second
     plan = [("a", i, 1) for i in range(len(x)) if owner[i] < 3] + [("a", i, 2) for i in range(len(x))] + [("b", i, 2) for i in range(len(y))]
     got = {}
@@ -50,9 +52,9 @@ def test_groups_are_found_in_the_pass_that_the_schedule_says(spark):
         got.setdefault((q["rec"], q["cluster"], q["pass"]), set()).add(q["item"])
     groups = {}
     for (n, c, p), items in got.items():
-        owners = {owner[i] for i in items} if n == "a" else {1 + (i >= 300) for i in items}
-        assert len(owners) == 1
-        (g,) = owners
+        owners = [int(owner[i]) if n == "a" else 1 + (i >= 300) if i < 600 else 0 for i in items]
+        g = max(set(owners), key=owners.count)
+        assert g and owners.count(g) > 0.95 * len(items)
         groups[n, g] = p
         assert len(items) > 0.5 * (sizes[g - 1] if n == "a" else 300)
     assert groups == {("a", 1): 1, ("a", 2): 1, ("a", 3): 2, ("b", 1): 2, ("b", 2): 2}
