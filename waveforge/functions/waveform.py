@@ -77,7 +77,7 @@ def template_snr(wave: Column, template: list[float]) -> Column:
     m = len(template)
 
     def share(part: Column) -> Column:
-        return let(dot(part, t) * dot(part, t), lambda a: a / (dot(part, part) - a))
+        return let(dot(part, t) * dot(part, t), lambda a: a / F.nullif(dot(part, part) - a, F.lit(0.0)))
 
     def at(i: Column) -> Column:
         return let(F.slice(wave, i + 1, m), share)

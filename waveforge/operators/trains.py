@@ -15,8 +15,8 @@ def intervals(train: DataFrame, unit: str = "unit", ts: str = "ts_us", key: str
 
 
 def share(condition: Column, among: Column) -> Column:
-    """Share of the rows that meet ``condition`` among those that meet ``among``."""
-    return F.sum(F.when(condition, 1).otherwise(0)) / F.sum(F.when(among, 1).otherwise(0))
+    """Share of the rows that meet ``condition`` among those that meet ``among``; null without one."""
+    return F.sum(F.when(condition, 1).otherwise(0)) / F.nullif(F.sum(F.when(among, 1).otherwise(0)), F.lit(0))
 
 
 def train_report(train: DataFrame, short: float, burst: tuple[float, float]) -> DataFrame:
