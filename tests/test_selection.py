@@ -72,3 +72,18 @@ def test_values_that_are_no_numbers_and_empty_tables(spark, way):
     assert {x["g"]: x["median"] for x in selection.medians(rows, ["g"], "v").collect()}.get(1) == 3.0
     for made in (selection.medians, lambda f, k, v: selection.lowest(f, k, v, "item", F.col("n")), lambda f, k, v: selection.with_neighbours(f, k, [v], before={"b": v})):
         assert made(rows.limit(0), ["g"], "v").count() == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark, frame):
+    want = None
+    for parts in (1, 40):
+        rows = frame.repartition(parts)
+        got = {(x["g"], x["item"]) for x in selection.sampled(rows, ["g"], "item", 30, seed=5).collect()}
+        draws = sorted((x["g"], x["draw"], x["item"]) for x in selection.drawn(rows, ["g"], "item", 50, seed=5).collect())
+        assert want in (None, (got, draws))
+        want = (got, draws)
+    sizes = {g: sum(1 for h, _ in got if h == g) for g in GROUPS}
+    assert sizes == {g: min(30, len(x)) for g, x in GROUPS.items()}
+    assert len(draws) == 50 * len(GROUPS) and {d for g, _, d in draws if g == 4} == {0}
+    other = {(x["g"], x["item"]) for x in selection.sampled(frame, ["g"], "item", 30, seed=6).collect()}
+    assert other != got

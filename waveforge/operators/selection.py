@@ -120,3 +120,23 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: list[str], before:
     near = Window.partitionBy(*keys, "chunk").orderBy("place")
     out = sent.withColumns({new: F.lag(old).over(near) for new, old in before.items()} | {new: F.lead(old).over(near) for new, old in after.items()})
     return out.where("own").drop("place", "chunk", "own")
+
+
+def sampled(rows: DataFrame, keys: list[str], item: str, most: int, seed: int = 0, salts: int = 64) -> DataFrame:
+    """Up to ``most`` rows of each group, without replacement: those of the smallest hashes of ``item`` (with the seed), so the same ones whatever the partitions.
+
+    The smallest of parts of a group hold the smallest of the group: parts are cut first, by the hash itself, and no task gets more than ``salts * most`` rows of a group.
+    """
+    lot = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")), 256)
+    marked = rows.withColumns({"_lot": lot, "_salt": F.pmod(F.xxhash64(item), F.lit(salts))})
+    part = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("_lot", item))).where(F.col("_rank") <= most)
+    return part.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_lot", item))).where(F.col("_rank") <= most).drop("_lot", "_salt", "_rank")
+
+
+def drawn(rows: DataFrame, keys: list[str], item: str, many: int, seed: int = 0) -> DataFrame:
+    """``many`` rows of each group with replacement, with ``draw`` (from 0): draw j takes the row whose rank by ``item`` is a hash of group, seed and j, modulo the group's size."""
+    stages = Stages(rows.sparkSession)
+    placed = stages(numbered(rows, keys, [item], stages), "placed")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    lot = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("draw").cast("string")), 256), 1, 12), 16, 10).cast("long")
+    return sizes.withColumn("place", lot % F.col("n")).join(placed, [*keys, "place"]).drop("place", "n")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cores, features, steps
+from ..operators import cores, features, gradebook, refinement, selection, shapes, steps
 from ..sources import views as V
-from .catalogue import F3, query, r6
+from .catalogue import F1, F3, TEMPLATE, query, r6
 
 # -- grouped fits ------------------------------------------------------------------------------------
 
@@ -56,3 +56,49 @@ def core_recursion_peaks(spark, sf_dir):
     peaks = V.peaks(spark, sf_dir).groupBy("tetrode", "item").agg(F.min(F.struct("p1", "p2", "p3", "p4")).alias("x")).select("tetrode", "item", F.array("x.p1", "x.p2", "x.p3", "x.p4").alias("x"))
     made = lambda members, group: members.join(peaks, ["tetrode", "item"]).select(group, "item", "x")
     return cores.core_loop(peaks.select("tetrode", "item"), ["tetrode"], "item", made, n_dims=4, drop_redundant=True)
+
+
+# -- refinement, grades, samples -----------------------------------------------------------------------
+
+
+def _described(spark, sf_dir):
+    """The waveforms as one recording: peaks at the place most waves have theirs, and for the refinement these and the first components, as scores."""
+    waves = V.waveforms(spark, sf_dir).withColumn("recording", F.lit(0))
+    made = features.spike_features(waves, "recording", "spike_id", ["w1", "w2"])
+    values = made.select("recording", "spike_id", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(4)), *(F.get("features", F.lit(i)).alias(f"p{i + 1}") for i in range(2)))
+    return waves, shapes.zscored(values, [f"f{i}" for i in range(4)])
+
+
+@query()
+def refined_clusters(spark, sf_dir):
+    """The labels' clusters after refinement, with the branch each took."""
+    waves, rows = _described(spark, sf_dir)
+    members = waves.select("recording", "cluster_id", "spike_id")
+    found = refinement.refined(rows, members, ["recording"], "cluster_id", "spike_id", [f"f{i}" for i in range(4)], ["p1", "p2"], steps.Stages(spark))
+    return found.select("cluster_id", "spike_id", "branch")
+
+
+@query()
+def graded_clusters(spark, sf_dir):
+    """All grades of clusters 0 to 7; labels 8 and 9 stand for unsorted rows."""
+    waves, rows = _described(spark, sf_dir)
+    spikes = rows.select("recording", "spike_id", "p1", "p2").join(waves.select("spike_id", "ts_us", "w1", "w2"), "spike_id")
+    members = waves.where("cluster_id < 8").select("recording", "cluster_id", "spike_id")
+    got = gradebook.graded(spikes, members, ["recording"], "cluster_id", "spike_id", "ts_us", ["w1", "w2"], ["p1", "p2"], [100.0, 100.0], TEMPLATE, short_isi=600.0, few_wires=1)
+    whole = ["n", "n_near", "wires", "final_grade", "valley", "non_stationary"]
+    return got.select("cluster_id", *whole, *(r6(c, c) for c in got.columns if c not in ("recording", "cluster_id", *whole)))
+
+
+@query(f"with {F3}, d as (select distinct tetrode, item from p), r as (select *, row_number() over (partition by tetrode order by sha256('7:' || item), item) as k from d) select tetrode, item from r where k <= 100")
+def sampled_items(spark, sf_dir):
+    """A hundred items of each recording, the same whatever the partitions."""
+    return selection.sampled(V.peaks(spark, sf_dir).select("tetrode", "item").distinct(), ["tetrode"], "item", 100, seed=7)
+
+
+@query(f"""with {F1}, n as (select cluster_id, spike_id, row_number() over (partition by cluster_id order by spike_id) - 1 as place, count(*) over (partition by cluster_id) as n from w),
+  d as (select cluster_id, n, unnest(range(0, 100)) as draw from (select distinct cluster_id, n from n)), p as (select cluster_id, draw, ('0x' || sha256('3:' || cluster_id || ':' || draw)[1:12])::bigint % n as place from d)
+  select cluster_id, draw::int as draw, spike_id from p join n using (cluster_id, place)""")
+def drawn_spikes(spark, sf_dir):
+    """A hundred draws of each cluster with replacement."""
+    rows = V.waveforms(spark, sf_dir).select("cluster_id", "spike_id")
+    return selection.drawn(rows, ["cluster_id"], "spike_id", 100, seed=3).select("cluster_id", "draw", "spike_id")

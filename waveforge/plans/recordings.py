@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import waveform as W
-from ..operators import shapes
+from ..operators import shapes, steps
 from ..operators import trains as T
+from ..sources import recordfiles
 from ..sources import records as R
 from ..sources import views as V
 from .catalogue import F1, F2, XY, _xy, query, r6, zscore_detect
@@ -33,6 +36,26 @@ def record_modes(spark, sf_dir):
     return out
 
 
+_FILED = f"""{RECORDS}, f as (select row_number() over (order by idx) as place, ts_us, tetrode as cell, list_sum(list_transform(w1, lambda x, i: x * i))::bigint as m1, list_sum(list_transform(w2, lambda x, i: x * i))::bigint as m2 from r)"""
+
+
+@query(f"""with {_FILED}, l as (select unnest([5, 3, 99999, 3, 41]) as place, unnest(range(0, 5)) as ord)
+  select 'all' as mode, place as ord, * from f union all select 'range', place, * from f where place between 100 and 199 union all select 'list', ord, f.* from f join l using (place)
+  union all select 'ts_range', place, * from f where ts_us between 1704067200000000 and 1714067200000000 union all select 'ts_list', place, * from f where ts_us in (0, 5)""")
+def record_files(spark, sf_dir):
+    """The records as binary files of two wires, read back in each mode."""
+    rows = _records(spark, sf_dir).select("idx", "ts_us", F.col("tetrode").cast("int").alias("cell"), F.array("w1", "w2").alias("waves"))
+    folder = f"{steps.shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    recordfiles.write(rows, folder, "nst", ["idx"], header="######## waveforms\n")
+    weighed = lambda i: F.aggregate(F.transform(F.get("waves", F.lit(i)), lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = None
+    for mode, values in (("all", None), ("range", [100, 199]), ("list", [5, 3, 99999, 3, 41]), ("ts_range", [1704067200000000, 1714067200000000]), ("ts_list", [0, 5])):
+        got = recordfiles.read(spark, folder, mode, values, ["idx", "ts_us", "cell", "waves"])
+        one = got.select(F.lit(mode).alias("mode"), "ord", F.col("idx").alias("place"), "ts_us", "cell", weighed(0).alias("m1"), weighed(1).alias("m2"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _LINES = """lines as (select s_suppkey as file, unnest(range(0, 6)) as line_no, unnest(['######## header', case when s_suppkey % 3 = 0 then '-Other 1' else '-ADMaxValue ' || (2000 + s_suppkey) end,
     case when s_suppkey % 2 = 0 then '-Other 2' else '-ADBitVolts 0.00000' || (1 + s_suppkey % 9) || ' 0.00000' || (1 + s_suppkey % 7) end, case when s_suppkey % 4 = 1 then '-Other 3' else '-InputRange ' || (100 + s_suppkey) || ' ' || (50 + s_suppkey) end,
     '-ThreshVal ' || (20 + s_suppkey % 5) || ' 31', '-ADMaxValue 7']) as line from supplier)"""
