@@ -83,6 +83,17 @@ def _cut(wires: list[str], k: int, n: Column) -> Column:
     return F.transform(F.transform(F.col(f"spikes_{k}"), ends), shrunk)
 
 
+def several(wires: list[str], thresholds: list[float]) -> Column:
+    """Whether a snippet holds spikes apart: of all wires' peaks (and last samples) of 1.25 of the threshold and a quarter of the wire's highest at least, the first and the last are a third of the snippet apart."""
+
+    def marked(w: str, limit: float) -> Column:
+        top = F.array_max(w)
+        return F.filter(W.local_peaks(F.col(w), include_last=True), lambda i: (F.get(w, i) >= 1.25 * limit) & (F.get(w, i) >= 0.25 * top))
+
+    every = F.concat(*(marked(w, float(t)) for w, t in zip(wires, thresholds, strict=True)))
+    return W.let(every, lambda at: F.coalesce(F.array_max(at) - F.array_min(at) >= F.ceil(0.33 * F.size(wires[0])), F.lit(False)))
+
+
 def split(rows: DataFrame, wires: list[str], thresholds: list[float | Column], ts: str = "ts_us") -> DataFrame:
     """``rows`` with a row for each spike in them (none, one or several): the cut waves in the middle of zeros, ``ts`` moved by the samples before the cut, and ``part, part_wire, part_at, lower, upper``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cores, features, gradebook, refinement, selection, shapes, steps
+from ..operators import cores, features, gradebook, refinement, selection, session, shapes, steps
 from ..sources import views as V
 from .catalogue import F1, F3, TEMPLATE, query, r6
 
@@ -102,3 +102,11 @@ def drawn_spikes(spark, sf_dir):
     """A hundred draws of each cluster with replacement."""
     rows = V.waveforms(spark, sf_dir).select("cluster_id", "spike_id")
     return selection.drawn(rows, ["cluster_id"], "spike_id", 100, seed=3).select("cluster_id", "draw", "spike_id")
+
+
+@query()
+def sorted_session(spark, sf_dir):
+    """All waveforms as one recording, from resampling to sorted spikes."""
+    waves = V.waveforms(spark, sf_dir).withColumn("recording", F.lit(0))
+    done = session.sorted_session(waves, ["recording"], "spike_id", "ts_us", session.Settings(["w1", "w2"], [100.0, 100.0], [400.0, 400.0], n_passes=2))
+    return done.spikes.select("spike_id", "part", r6("ts_s", "ts_s"), "cluster")
