@@ -80,9 +80,66 @@ def test_no_rows_and_other_ids(spark):
         embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], SCHEMA), id_col="rep")
 
 
+def tight(groups, n, cosine, pairs, seed, dim=64):
+    """``groups`` groups of ``n`` vectors each, any two of a group at about ``cosine``, and partners at a cosine a little over or under 0.98 for some."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(0, 1, (groups, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    away = np.sqrt(1 / cosine - 1)
+    x = np.concatenate([c + r.normal(0, away / np.sqrt(dim), (n, dim)) for c in centres])
+    at = r.choice(len(x), pairs, replace=False)
+    step = r.normal(0, 1, (pairs, dim))
+    own = x[at] / np.linalg.norm(x[at], axis=1, keepdims=True)
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    return np.concatenate([x, own + step * r.uniform(0.17, 0.22, (pairs, 1))])
+
+
+def all_links(x, threshold=0.98):
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    counts, edges = np.zeros(len(u), int), []
+    for lo in range(0, len(u), 2000):
+        near = u[lo : lo + 2000] @ u.T >= threshold
+        counts[lo : lo + 2000] = near.sum(axis=1) - 1
+        edges += [(lo + i, j) for i, j in np.argwhere(near).tolist() if j < lo + i]
+    root = list(range(len(u)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return counts, np.array([find(i) for i in range(len(u))])
+
+
+@pytest.mark.parametrize("groups, n, cosine", [(4, 5000, 0.95), (2, 15000, 0.96)])
+def test_tight_groups_inside_a_label(spark, groups, n, cosine):
+    x = tight(groups, n, cosine, 400, 11)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
+    counts, components = all_links(x)
+    got = np.array([found[i][0] for i in range(len(x))])
+    assert counts.sum() > 600 and (got <= counts).all() and got.sum() >= 0.99 * counts.sum()
+    assert np.mean([found[i][1] == components[i] for i in np.flatnonzero(counts)]) >= 0.99
+
+
+def test_windows_of_chunks(spark, monkeypatch):
+    """With small chunks a label takes many passes and rounds, and every link is found all the same."""
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 100)
+    x = planted(1200, 8)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(frame).collect()}
+    counts, _ = all_links(x)
+    assert counts.sum() > 80 and sum(found.values()) >= 0.99 * counts.sum() and all(found[i] <= counts[i] for i in found)
+
+
 def test_passes_follow_the_label_size():
-    counts = [embedding_dedup.passes_for(n, 48, 1e-4) for n in (1, 49, 50, 5000, 100_000, 10_000_000)]
-    assert counts == sorted(counts) and counts[:2] == [1, 1]
+    counts = [embedding_dedup.passes_for(n, 1e-4) for n in (1, 8192, 8193, 50_000, 1_000_000, 100_000_000)]
+    assert counts == sorted(counts) and counts[:2] == [1, 1] and counts[2] > 1
 
 
 def test_components_of_chains_stars_loops_and_nulls(spark):

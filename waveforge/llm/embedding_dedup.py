@@ -1,18 +1,18 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass draws random hyperplanes through the mean of a label and orders its vectors
-by their concatenated sign bits; vectors a small angle apart share long prefixes and come
-to stand close.  Every vector is compared with the ``window`` vectors before it, also across
-the borders of the sorted partitions.  What moves through the passes is an id, the bits and
+Each pass orders a label's vectors by concatenated random hashes, so that vectors a small angle apart come to stand close, and
+compares every vector with the ones near it: the order is cut into chunks of ``CHUNK`` rows, and a chunk meets itself and the chunk
+before it.  So a label of up to two chunks is compared wholly, in one pass.  What moves through a pass is an id, the hash and
 the vector rounded to 16-bit integers: its cosines are off by less than a known bound, so all
 but a thin band around the threshold is decided there, and the pairs in the band are looked up
 once and computed in double precision.  Links of all passes are united.
 
-*Passes.*  A label of N vectors needs about b = log2(N / window) common bits for a pair to stand
-in one window.  A pair at cosine 0.98 agrees on a bit with probability 0.936, or less where a
-label's vectors resemble each other (0.9 is assumed: vectors of a label at cosine 0.8 on
-average), so one pass finds it with probability 0.9^b and ``passes(N)`` passes miss it with
-probability ``miss`` at most.  The number follows each label's size and has no upper limit.
+*Hashes.*  Even passes take signs of random projections of the vectors less their label's mean: these part a label that is spread out.
+Odd passes take levels of random projections, ``LEVEL`` wide: these part tight groups inside a label as well, wherever the mean lies.
+
+*Passes.*  A label of N vectors needs about b = log2(N / 1.5 chunks) common bits for a pair to stand in one window, which one pass gives with probability
+``AGREE``^b or more in a label that is spread out; the first round has as many passes as miss a pair with probability ``miss`` then.  Tight groups need
+more.  So rounds of ``MORE`` passes go on for every label until a whole round joins no two of its components any more; there is no upper limit.
 
 A pair that reaches the threshold lies inside one component, so the number of links of a
 vector is counted exactly inside its component: blocks of its members meet each other, streamed;
@@ -34,33 +34,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import arrow_map, integer_ids, materialize, partitions, scratch
+from .shared import arrow_map, integer_ids, materialize, partitions, scratch, small_or_shuffled
 
-BITS = 48  # of a pass's key
-AGREE = 0.9  # assumed probability that a linked pair agrees on a bit
+CHUNK = 4096  # rows of a pass's order that meet themselves and the chunk before
+BITS = 48  # of a key of signs
+LEVEL, LEVELS, DIGITS = 0.5, 16, 12  # width and number of the levels of a projection, and projections of a key
+AGREE = 0.85  # assumed probability that a linked pair of a spread-out label agrees on a bit
+MORE = 8  # passes of a further round
 
 
-def passes_for(n: int, window: int, miss: float) -> int:
-    """Passes after which a linked pair of a label of ``n`` vectors has been in one window, but for probability ``miss``."""
-    if n <= window + 1:
+def passes_for(n: int, miss: float) -> int:
+    """Passes of the first round for a label of ``n`` vectors."""
+    if n <= 2 * CHUNK:
         return 1
-    once = AGREE ** math.log2(n / window)
+    once = AGREE ** math.log2(n / (1.5 * CHUNK))
     return max(2, math.ceil(math.log(miss) / math.log1p(-once)))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, window: int = 48, miss: float = 1e-4, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per vector ``id_col, n_links, component_id, kept``."""
     integer_ids(vectors, id_col)
     with scratch(vectors.sparkSession) as keep:
-        return keep(_labelled(vectors, threshold, window, miss, seed, id_col, vector_col, label_col), "near-vectors")
+        return keep(_labelled(vectors, threshold, miss, seed, id_col, vector_col, label_col), "near-vectors")
 
 
-def _labelled(vectors: DataFrame, threshold: float, window: int, miss: float, seed: int, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+def _labelled(vectors: DataFrame, threshold: float, miss: float, seed: int, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -68,7 +70,7 @@ def _labelled(vectors: DataFrame, threshold: float, window: int, miss: float, se
     distinct = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     distinct = materialize(distinct.withColumn("dim", F.size("v")), "vectors")
 
-    links = materialize(_links(distinct, threshold, window, miss, seed), "links")
+    links = materialize(_links(distinct, threshold, miss, seed), "links")
     labels = materialize(connected_components(links), "components")
     members = distinct.join(labels.withColumnRenamed("node", "rep"), "rep")
     counted = _links_inside(members, threshold)
@@ -116,40 +118,90 @@ def _means(distinct: DataFrame) -> DataFrame:
     return places.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("ordered")).select("label", "dim", "n", F.transform("ordered", lambda x: x["m"]).alias("mean"))
 
 
-def _links(distinct: DataFrame, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
-    """``a, b``: pairs at the threshold that some window holds, as a spanning forest of each run of rows."""
+def _links(distinct: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
+    """``a, b``: pairs at the threshold that some pass holds in one window, thinned to a spanning forest of each window."""
+    means = materialize(_means(distinct), "means")
+    largest = means.agg(F.max("n")).first()[0] or 0
+    first = passes_for(largest, miss)
+    vectors = distinct.select("rep", "label", "dim", "v")
+    links = None
+    for p in range(first):
+        # a smaller label has fewer passes in its first round
+        rows = means if p == 0 else means.where(F.col("n") >= min(n for n in _sizes(largest) if passes_for(n, miss) > p))
+        found = _one_pass(vectors, rows, threshold, seed, p)
+        links = found if links is None else links.union(found)
+    open_ = means.where(F.col("n") > 2 * CHUNK)
+    p = first
+    while largest > 2 * CHUNK and open_.take(1):
+        known = materialize(connected_components(links), "components")
+        new = None
+        for _ in range(MORE):
+            found = _one_pass(vectors, open_, threshold, seed, p)
+            new, p = found if new is None else new.union(found), p + 1
+        side = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        joined = new.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        joins = joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("rep"))
+        still = joins.join(distinct.select("rep", "label", "dim"), "rep").select("label", "dim").distinct()
+        open_ = materialize(open_.join(still, ["label", "dim"], "left_semi"), "open")
+        links = links.union(new)
+    return links.distinct()
+
+
+def _sizes(largest: int) -> list[int]:
+    """Sizes up to ``largest``, a hundredth apart, to find the least one with a number of passes."""
+    out, n = [], 2.0 * CHUNK
+    while n < largest:
+        n *= 1.01
+        out.append(min(largest, math.floor(n)))
+    return out or [largest]
+
+
+def _keys(u: np.ndarray, mean: np.ndarray, dim: int, seed: int, p: int) -> np.ndarray:
+    random = np.random.default_rng((seed, dim, p))
+    if p % 2 == 0:
+        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+        return ((u - mean) @ random.standard_normal((dim, BITS)) > 0).astype(np.int64) @ weights
+    levels = u @ random.standard_normal((dim, DIGITS)) / LEVEL + random.uniform(0, 1, DIGITS) + LEVELS / 2
+    return np.clip(np.floor(levels), 0, LEVELS - 1).astype(np.int64) @ (LEVELS ** np.arange(DIGITS - 1, -1, -1, dtype=np.int64))
+
+
+def _one_pass(vectors: DataFrame, labels: DataFrame, threshold: float, seed: int, p: int) -> DataFrame:
+    """``a, b`` of pass ``p`` over the labels in ``labels`` (``label, dim, mean``), written; what else it has written is gone."""
+    with scratch(vectors.sparkSession) as keep:
+        return keep(_pass_links(vectors, labels, threshold, seed, p), "links")
+
+
+def _pass_links(vectors: DataFrame, labels: DataFrame, threshold: float, seed: int, p: int) -> DataFrame:
+    spark = vectors.sparkSession
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for batch in batches:
             for dim, at in _groups(batch.column("dim")):
                 part = batch.take(pa.array(at))
                 u = _unit(_matrix(part.column("v"), dim))
-                shifted = u - _matrix(part.column("mean"), dim)
+                keys = _keys(u, _matrix(part.column("mean"), dim), dim, seed, p)
                 q = np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 32767).astype("<i2")
-                times = np.array([passes_for(n, window, miss) for n in part.column("n").to_pylist()])
-                for p in range(int(times.max())):
-                    if (dim, p) not in planes:
-                        planes[dim, p] = np.random.default_rng((seed, dim, p)).standard_normal((dim, BITS))
-                    some = np.flatnonzero(times > p)
-                    keys = (shifted[some] @ planes[dim, p] > 0).astype(np.int64) @ weights
-                    sent = part.take(pa.array(some))
-                    packed = pa.array([row.tobytes() for row in q[some]], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(some), pa.int32()), sent.column("label"), sent.column("dim"), pa.array(keys), sent.column("rep"), packed], names=["pass", "label", "dim", "key", "rep", "q"])
-
-    order = ["pass", "label", "dim", "key", "rep"]
-    keyed = arrow_map(distinct.select("rep", "label", "dim", "v").join(_means(distinct), ["label", "dim"]), project, "pass int, label string, dim int, key long, rep long, q binary")
-    ordered = keyed.repartitionByRange(partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
-    found = materialize(arrow_map(ordered.select("pass", "label", "rep", "q"), _compared(threshold, window), f"a long, b long, sure boolean, {EDGE}"), "windows")
-    # the last rows of a partition and the first ones of the next meet by the border between them
-    edges = found.where("border is not null").select("border", "side", "pos", "pass", "label", "rep", "q")
-    ordered = edges.repartition(partitions(distinct.sparkSession), "border").sortWithinPartitions("border", "side", "pos")
-    across = arrow_map(ordered, _across(threshold, window), "a long, b long, sure boolean")
-    pairs = materialize(found.where("a is not null").select("a", "b", "sure").union(across).distinct(), "pairs")
+                packed = pa.array([row.tobytes() for row in q], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(keys), part.column("rep"), packed], names=["label", "dim", "key", "rep", "q"])
+
+    keyed = arrow_map(vectors.join(labels.select("label", "dim", "mean"), ["label", "dim"]), project, "label string, dim int, key long, rep long, q binary")
+    order = ["label", "dim", "key", "rep"]
+    ordered = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    placed = materialize(ordered.select("label", "dim", "rep", "q", F.monotonically_increasing_id().alias("at")), "ordered").withColumn("part", F.shiftright("at", 33))
+    runs = placed.groupBy("label", "dim", "part").agg(F.min("at").alias("low"), F.count("*").alias("many"))
+    of = Window.partitionBy("label", "dim")
+    shifts = runs.select("label", "dim", "part", (F.sum("many").over(of.orderBy("part")) - F.col("many") - F.col("low")).alias("shift"), F.sum("many").over(of).alias("whole"))
+    placed = placed.join(small_or_shuffled(materialize(shifts, "shifts")), ["label", "dim", "part"]).withColumn("place", F.col("at") + F.col("shift"))
+    chunk = F.floor(F.col("place") / CHUNK)
+    following = F.when((chunk + 1) * CHUNK < F.col("whole"), F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("old")))
+    both = F.filter(F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("old")), following), lambda x: x.isNotNull())
+    sent = placed.select("label", "dim", "place", "rep", "q", F.inline(both))
+    key = ["label", "dim", "chunk"]
+    windows = sent.repartition(partitions(spark), *key).sortWithinPartitions(*key, "place")
+    pairs = materialize(arrow_map(windows.select(*key, "old", "rep", "q"), _compared(threshold), "a long, b long, sure boolean").distinct(), "pairs")
 
     # pairs in the band around the threshold: once in double precision
-    left, right = distinct.select(F.col("rep").alias("a"), F.col("v").alias("x")), distinct.select(F.col("rep").alias("b"), F.col("v").alias("y"))
+    left, right = vectors.select(F.col("rep").alias("a"), F.col("v").alias("x")), vectors.select(F.col("rep").alias("b"), F.col("v").alias("y"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     scaled = lambda v: F.transform(v, lambda t: t / F.array_max(F.transform(v, F.abs)))
     band = pairs.where("not sure").join(left, "a").join(right, "b").select("a", "b", scaled(F.col("x")).alias("x"), scaled(F.col("y")).alias("y"))
@@ -157,90 +209,75 @@ def _links(distinct: DataFrame, threshold: float, window: int, miss: float, seed
     return pairs.where("sure").select("a", "b").union(band)
 
 
-EDGE = "border int, side int, pos int, pass int, label string, rep long, q binary"
-
-
-def _pairs_near(rows: list[tuple], old: int, threshold: float, window: int) -> list[tuple[int, int, bool]]:
-    """Pairs of each row ``pass, label, rep, q`` with the ``window`` rows before it; the first ``old`` rows are only partners.
-
-    Pairs over the band are sure and thinned to a spanning forest; those in the band are given as far as they join two of its trees.
-    """
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out, start = [], 0
-    for end in range(1, len(rows) + 1):
-        if end < len(rows) and rows[end][:2] == rows[start][:2] and len(rows[end][3]) == len(rows[start][3]):
+def _pairs_near(x: np.ndarray, old: int, threshold: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Places of linked rows of ``x``, of which the first ``old`` meet the others only: pairs over the band as a spanning forest, and pairs in the band that join two of its trees."""
+    x = x.astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    band = 2 * math.sqrt(x.shape[1]) / 32767 + 1e-5  # rounding turns a vector by less than half of this; the rest is for single precision
+    parent = np.arange(len(x))
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        up = parent[at]
+        while (parent[up] != up).any():
+            up = parent[up]
+        parent[at] = up
+        return up
+
+    sure, open_ = [], []
+    for lo in range(old, len(x), 512):
+        hi = min(lo + 512, len(x))
+        cosine = x[lo:hi] @ x[:hi].T
+        near = cosine >= threshold - band
+        near &= np.arange(hi)[None, :] < np.arange(lo, hi)[:, None]
+        if not near.any():
             continue
-        x = np.frombuffer(b"".join(r[3] for r in rows[start:end]), "<i2").reshape(end - start, -1).astype(np.float64)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        band = 2 * math.sqrt(x.shape[1]) / 32767  # rounding turns a vector by less than half of this
-        open_ = []
-        for lo in range(0, end - start, 256):
-            hi = min(lo + 256, end - start)
-            first = max(0, lo - window)
-            cosine = x[lo:hi] @ x[first:hi].T
-            for i, j in (np.argwhere(cosine >= threshold - band) + (lo, first)).tolist():
-                if not j < i <= j + window or start + i < old:
-                    continue
-                if cosine[i - lo, j - first] < threshold + band:
-                    open_.append((start + i, start + j))
-                elif (a := root(start + i)) != (b := root(start + j)):
-                    parent[a] = b
-                    out.append((rows[start + i][2], rows[start + j][2], True))
-        out += [(rows[i][2], rows[j][2], False) for i, j in open_ if root(i) != root(j)]
-        start = end
-    return out
-
-
-def _compared(threshold: float, window: int):
-    """Windows inside a sorted partition; its first and last rows go along for the borders."""
-    names = ["a", "b", "sure", *(x.split()[0] for x in EDGE.split(", "))]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
-
-    def rows_of(links: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-        rows = [(*x, *[None] * 7) for x in links] + [(None, None, None, *x) for x in edges]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = TaskContext.get().partitionId()
-        tail: list[tuple] = []
-        head: list[tuple] = []
-        for batch in batches:
-            new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            head += new[: window - len(head)]
-            rows = tail + new
-            if links := _pairs_near(rows, len(tail), threshold, window):
-                yield rows_of(links, [])
-            tail = rows[-window:]
-        if tail:
-            yield rows_of([], [(here - 1, 1, i, *r) for i, r in enumerate(head)] + [(here, 0, i, *r) for i, r in enumerate(tail)])
-
-    return run
-
-
-def _across(threshold: float, window: int):
-    """Windows over each border: the rows of side 0 are partners of those of side 1."""
+        over = near & (cosine >= threshold + band)
+        for i in np.flatnonzero(over.any(axis=1)).tolist():
+            js = np.flatnonzero(over[i])
+            trees, at = np.unique(roots(js), return_index=True)
+            own = int(roots(np.array([lo + i]))[0])
+            for tree, j in zip(trees.tolist(), js[at].tolist(), strict=True):
+                if tree != own:
+                    parent[tree] = own
+                    sure.append((lo + i, j))
+        if (left := np.argwhere(near & ~over)).size:
+            left[:, 0] += lo
+            open_.append(left)
+    if not open_:
+        return sure, np.empty((0, 2), np.int64)
+    rest = np.concatenate(open_)
+    return sure, rest[roots(rest[:, 0]) != roots(rest[:, 1])]
+
+
+def _compared(threshold: float):
+    """Links of each chunk's rows among themselves and with the ones before."""
+
+    def result(reps: np.ndarray, old: np.ndarray, q: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(q), "<i2").reshape(len(q), -1)
+        sure, rest = _pairs_near(x, int(old.sum()), threshold)
+        for pairs, known in ((np.array(sure, np.int64).reshape(-1, 2), True), (rest, False)):
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[pairs[:, 0]]), pa.array(reps[pairs[:, 1]]), pa.array([known] * len(pairs))], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        now, reps, old, q = None, [], [], []
         for batch in batches:
-            for border, side, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(border, []).append((side, *row))
-            while len(held) > 1:  # borders come one after another
-                yield from result(held.pop(next(iter(held))))
-        for rows in held.values():
-            yield from result(rows)
-
-    def result(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        old = sum(r[0] == 0 for r in rows)
-        if links := _pairs_near([r[1:] for r in rows], old, threshold, window):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], names=["a", "b", "sure"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "chunk")), strict=True))
+            rep, before, packed = np.asarray(batch.column("rep")), np.asarray(batch.column("old")), batch.column("q")
+            lo = 0
+            for hi in range(1, len(keys) + 1):
+                if hi < len(keys) and keys[hi] == keys[lo]:
+                    continue
+                if keys[lo] != now:
+                    if now is not None:
+                        yield from result(np.concatenate(reps), np.concatenate(old), q)
+                    now, reps, old, q = keys[lo], [], [], []
+                reps.append(rep[lo:hi])
+                old.append(before[lo:hi])
+                q += packed.slice(lo, hi - lo).to_pylist()
+                lo = hi
+        if now is not None:
+            yield from result(np.concatenate(reps), np.concatenate(old), q)
 
     return run
 
