@@ -216,6 +216,20 @@ def test_passages_of_frequent_lines_and_repeats(spark):
     assert {f[0] for f in found} == {50, 61}
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_passages_across_frequent_lines(spark, parts):
+    """Two lines of 30 words that 398 documents hold apart; documents 100 and 300 alone hold both in a row, with an edited word at the seam."""
+    first, second = prose(30, 900).replace("\n", " "), prose(30, 901).replace("\n", " ")
+    rows = []
+    for i in range(400):
+        head, middle, tail = (prose(45, 10_000 + 3 * i + j).replace("\n", " ") for j in range(3))
+        both = f"{first} {second}" if i == 100 else " ".join([*first.split()[:-1], "seam", *second.split()])
+        rows.append((i, f"{head} {both} {tail}" if i in (100, 300) else f"{head} {first} {middle} {second} {tail}" if i > 1 else head))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40).coalesce(parts)
+    found = {(r["later"], r["earlier"]) for r in substring_dedup.passages(frame, min_words=50).collect()}
+    assert found == {(300, 100)}
+
+
 def test_recall_of_edited_passages(spark):
     rows, rates, sizes = [], (0.05, 0.10, 0.15, 0.25), (50, 75, 100)
     for i in range(240):
