@@ -94,7 +94,8 @@ def bhattacharyya(pairs: DataFrame, dims: list[str], other: str = "o_") -> DataF
     return out.withColumn("shared", shared).withColumn("bhat", F.when(shared > 0, bhat))
 
 
-def _described(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+def described_by(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """``keys``, moments and ``use_<d>``."""
     return moments(rows, keys, dims).join(geometry.usable(rows, keys, dims), keys)
 
 
@@ -123,7 +124,7 @@ def graded(
     on_wire = own.join(small(wire.select("g", "wire")), "g").select("g", F.get(F.array(*wires), F.col("wire") - 1).alias("wave"), F.get(F.array(*peaks), F.col("wire") - 1).alias("v"), limit.alias("limit"))
     on_wire = stages(on_wire, "on_wire")
 
-    described = stages(names.join(_described(own, ["g"], peaks), "g"), "described")
+    described = stages(names.join(described_by(own, ["g"], peaks), "g"), "described")
     outside = refinement.complement(spikes, own, by, peaks).join(refinement.usable_outside(spikes, own, by, peaks), "g")
     lratio = geometry.lratio(own.select("g", *peaks), outside, ["g"], peaks)
     cv = lambda p: F.stddev(p) / F.nullif(F.avg(p), F.lit(0.0))
@@ -139,10 +140,10 @@ def graded(
 
     other = geometry.named_other(described.drop(key), by)
     near = bhattacharyya(described.join(other, by).where("g <> o_g"), peaks).groupBy("g").agg(F.min("bhat").alias("min_bhat"))
-    unsorted = geometry.named_other(_described(loose, by, peaks), by)
+    unsorted = geometry.named_other(described_by(loose, by, peaks), by)
     far = bhattacharyya(described.join(unsorted, by), peaks).select("g", F.col("bhat").alias("bhat_unsorted"))
     low = loose.where(geometry.total([(F.col(p) < 1.5 * t).cast("int") for p, t in zip(peaks, thresholds, strict=True)]) == len(peaks))
-    mua = bhattacharyya(described.join(geometry.named_other(_described(low, by, peaks), by), by), peaks).where((F.col("shared") > 1) & (F.col("o_n") > 0.5 * F.col("n"))).select("g", F.col("bhat").alias("bhat_mua"))
+    mua = bhattacharyya(described.join(geometry.named_other(described_by(low, by, peaks), by), by), peaks).where((F.col("shared") > 1) & (F.col("o_n") > 0.5 * F.col("n"))).select("g", F.col("bhat").alias("bhat_mua"))
     nearby = _nearby(own, loose, described, by, item, peaks, stages)
 
     fits = cores.fit_groups(stages(own.select("g", item, F.array(*peaks).alias("x")), "points"), ["g"], item, 2, len(peaks), stages).select("g", F.col("validity").alias("mpc"))
@@ -171,6 +172,6 @@ def _nearby(own: DataFrame, loose: DataFrame, described: DataFrame, by: list[str
     met = loose.join(small(stages(fit.join(reach, "g"), "reach")), by)
     near = stages(met.where(plain < F.col("limit")).select("g", *peaks), "near")
     with_loose = described.join(loose.select(*by).distinct(), by, "left_semi").select("g", "n")
-    pairs = bhattacharyya(described.join(geometry.named_other(_described(near, ["g"], peaks), ["g"]), "g"), peaks).select("g", F.col("o_n").alias("n_near"), "bhat")
+    pairs = bhattacharyya(described.join(geometry.named_other(described_by(near, ["g"], peaks), ["g"]), "g"), peaks).select("g", F.col("o_n").alias("n_near"), "bhat")
     found = with_loose.join(pairs, "g", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     return found.select("g", "n_near", F.when(F.col("n_near") > 0.2 * F.col("n"), F.col("bhat")).otherwise(float("inf")).alias("bhat_near"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cores, features, gradebook, refinement, selection, session, shapes, steps
+from ..operators import comparison, cores, features, gradebook, refinement, selection, session, shapes, steps
 from ..sources import views as V
-from .catalogue import F1, F3, TEMPLATE, query, r6
+from .catalogue import F1, F3, TEMPLATE, XY, _xy, query, r6
 
 # -- grouped fits ------------------------------------------------------------------------------------
 
@@ -110,3 +110,42 @@ def sorted_session(spark, sf_dir):
     waves = V.waveforms(spark, sf_dir).withColumn("recording", F.lit(0))
     done = session.sorted_session(waves, ["recording"], "spike_id", "ts_us", session.Settings(["w1", "w2"], [100.0, 100.0], [400.0, 400.0], n_passes=2))
     return done.spikes.select("spike_id", "part", r6("ts_s", "ts_s"), "cluster")
+
+
+# -- two sortings of a recording -------------------------------------------------------------------
+
+KINDS = ["click", "error", "purchase", "signup", "view"]  # event types in order; one that isn't among them is no cluster
+
+
+def _sortings(spark, sf_dir):
+    """Two sortings of the waveforms, by time: the labels as the automatic one, the types of their events as the manual one."""
+    rows = _xy(spark, sf_dir).withColumn("recording", F.lit(0))
+    kinds = V.trains(spark, sf_dir).select(F.col("event_id").alias("spike_id"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("wire")).cast("int").alias("cluster"))
+    auto = rows.select("recording", (F.col("ts_us") / 1e6).alias("ts_s"), (F.col("cluster_id") + 1).alias("cluster"))
+    manual = rows.join(kinds, "spike_id").select("recording", (F.col("ts_us") / 1e6).alias("ts_s"), "cluster")
+    return rows, auto, manual
+
+
+@query(f"""with {F1}, {XY}, k as (select spike_id, a, b, cluster_id + 1 as auto, list_position([{', '.join(f"'{x}'" for x in KINDS)}], event_type) as manual from x join events on spike_id = event_id),
+  s as (select *, row_number() over (partition by ts_us order by spike_id) as r from (select k.*, ts_us from k join x using (spike_id))),
+  q as (select s.manual, s.auto, f.spike_id, f.a, f.b from s join s f on f.ts_us = s.ts_us and f.r = 1),
+  am as (select distinct auto, spike_id, a, b from q), mm as (select distinct manual, spike_id, a, b from q where manual > 0),
+  ma_ as (select auto, avg(a) as ma, avg(b) as mb, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(b, b) as bb from am group by 1),
+  mo_ as (select manual, avg(a) as ma, avg(b) as mb, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(b, b) as bb from mm group by 1),
+  p as (select manual, auto, ((x.bb + y.bb) / 2 * (x.ma - y.ma) ** 2 - (x.ab + y.ab) * (x.ma - y.ma) * (x.mb - y.mb) + (x.aa + y.aa) / 2 * (x.mb - y.mb) ** 2) / ((x.aa + y.aa) / 2 * (x.bb + y.bb) / 2 - ((x.ab + y.ab) / 2) ** 2) / 8
+    + ln(((x.aa + y.aa) / 2 * (x.bb + y.bb) / 2 - ((x.ab + y.ab) / 2) ** 2) / sqrt((x.aa * x.bb - x.ab ** 2) * (y.aa * y.bb - y.ab ** 2))) / 2 as bhat from mo_ x cross join ma_ y),
+  c as (select manual, auto, count(*) as common from mm join am using (spike_id) group by 1, 2)
+  select manual, auto, coalesce(common, 0) as common, round(bhat, 6) as bhat, min(bhat) over (partition by manual) < 1 as found from p left join c using (manual, auto)""")
+def compared_sortings(spark, sf_dir):
+    rows, auto, manual = _sortings(spark, sf_dir)
+    sets = [comparison.members_at(x, rows, ["recording"], "cluster", "spike_id", "ts_us", 1000.0) for x in (manual, auto)]
+    return comparison.compared(rows.select("recording", "spike_id", "a", "b"), *sets, ["recording"], "spike_id", ["a", "b"]).select("manual", "auto", "common", r6("bhat", "bhat"), "found")
+
+
+@query()
+def regraded_statistics(spark, sf_dir):
+    """How many clusters of the manual sorting the automatic one finds, by their grades."""
+    waves, described = _described(spark, sf_dir)
+    _, auto, manual = _sortings(spark, sf_dir)
+    spikes = waves.select("recording", "spike_id", "ts_us", "w1", "w2").join(described.select("recording", "spike_id", "p1", "p2"), ["recording", "spike_id"])
+    return comparison.regraded(auto, manual, spikes, ["recording"], "spike_id", "ts_us", ["w1", "w2"], ["p1", "p2"], [100.0, 100.0], TEMPLATE, short_isi=600.0)[3]
