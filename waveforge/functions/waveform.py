@@ -83,3 +83,22 @@ def template_snr(wave: Column, template: list[float]) -> Column:
         return let(F.slice(wave, i + 1, m), share)
 
     return F.array_max(F.transform(F.sequence(F.lit(0), F.size(wave) - m), at))
+
+
+def template_matches(wave: Column, templates: list[list[float]]) -> Column:
+    """``snr, amplitude, offset`` (from 0) of the offset at which unit-length templates explain most: the explained energy A summed over the templates, over the rest of the part's energy.
+
+    The first of equal offsets; one at which nothing is left counts for nothing.
+    """
+    m = len(templates[0])
+    columns = [F.array(*map(F.lit, t)) for t in templates]
+
+    def at(i: Column) -> Column:
+        def of(part: Column) -> Column:
+            explained = sum((dot(part, t) * dot(part, t) for t in columns[1:]), dot(part, columns[0]) * dot(part, columns[0]))
+            return let(explained, lambda a: F.struct((a / F.nullif(dot(part, part) - a, F.lit(0.0))).alias("snr"), (-i).alias("back"), a.alias("amplitude")))
+
+        return let(F.slice(wave, i + 1, m), of)
+
+    every = F.filter(F.transform(F.sequence(F.lit(0), F.size(wave) - m), at), lambda x: x["snr"].isNotNull())
+    return let(F.array_max(every), lambda x: F.struct(x["snr"].alias("snr"), x["amplitude"].alias("amplitude"), (-x["back"]).alias("offset")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comparison, cores, features, gradebook, refinement, selection, session, shapes, steps
+from ..functions import waveform as W
+from ..operators import comparison, cores, features, gradebook, histograms, refinement, selection, session, shapes, steps
 from ..sources import views as V
 from .catalogue import F1, F3, TEMPLATE, XY, _xy, query, r6
 
@@ -149,3 +150,44 @@ def regraded_statistics(spark, sf_dir):
     _, auto, manual = _sortings(spark, sf_dir)
     spikes = waves.select("recording", "spike_id", "ts_us", "w1", "w2").join(described.select("recording", "spike_id", "p1", "p2"), ["recording", "spike_id"])
     return comparison.regraded(auto, manual, spikes, ["recording"], "spike_id", "ts_us", ["w1", "w2"], ["p1", "p2"], [100.0, 100.0], TEMPLATE, short_isi=600.0)[3]
+
+
+# -- histograms, templates, windows ------------------------------------------------------------------
+
+_EDGES = [0.0, 10.0, 20.0, 30.0, 50.0]
+
+
+@query(f"""with {F3}, e as (select cluster_id, min(p2) as lo, max(p2) as hi from p group by 1),
+  b as (select cluster_id, p3, p4, len(list_filter({_EDGES}, lambda e: e <= p1)) as bin_p1, case when p2 = hi then 9 else least(8, floor((p2 - lo) / nullif(hi - lo, 0) * 8) + 1) end::int as bin_p2, lo, hi from p join e using (cluster_id) where p1 <= 50)
+  select cluster_id, bin_p1, bin_p2, case when bin_p1 < 5 then ({_EDGES}[bin_p1] + {_EDGES}[bin_p1 + 1]) / 2 end as mid_p1, case when bin_p2 <= 8 then round(any_value(lo + (bin_p2 - 0.5::double) * (hi - lo) / 8), 6) end as mid_p2,
+    count(*) as count, round(avg(p3), 6) as mean3, max(p4) as most4 from b where bin_p1 >= 1 group by 1, 2, 3""")
+def histogram_edges(spark, sf_dir):
+    got = histograms.histogram(V.peaks(spark, sf_dir), ["p1", "p2"], {"p1": _EDGES, "p2": 8}, by=["cluster_id"], mean3=F.avg("p3"), most4=F.max("p4"))
+    return got.select("cluster_id", "bin_p1", "bin_p2", "mid_p1", r6("mid_p2", "mid_p2"), "count", r6("mean3", "mean3"), "most4")
+
+
+TEMPLATES = [[0.6, 0.8, 0.0], [0.0, 0.0, 1.0]]
+
+
+@query(f"""with {F1}, o as (select spike_id, wire, i, wf[i:i + 2] as v from (select *, unnest(range(1, 31)) as i from ww)),
+  a as (select spike_id, wire, i, pow(list_dot_product(v, [0.6::double, 0.8::double, 0.0::double]), 2) + pow(list_dot_product(v, [0.0::double, 0.0::double, 1.0::double]), 2) as a, list_dot_product(v, v) as e from o),
+  s as (select *, a / nullif(e - a, 0) as snr from a), r as (select *, row_number() over (partition by spike_id, wire order by snr desc, i) as r from s where snr is not null)
+  select spike_id, wire, round(a, 4) as amplitude, (i - 1)::int as offset_ from r where r = 1""")
+def template_offsets(spark, sf_dir):
+    got = V.wires(V.waveforms(spark, sf_dir)).select("spike_id", "wire", W.template_matches(F.col("wf"), TEMPLATES).alias("t"))
+    return got.select("spike_id", "wire", F.round("t.amplitude", 4).alias("amplitude"), F.col("t.offset").alias("offset_"))
+
+
+@query("""with t as (select event_id, event_type as channel, epoch_us(ts) as ts_us, value as v from events),
+  s as (select *, row_number() over (partition by channel order by ts_us, event_id) - 1 as place, count(*) over (partition by channel) as n, (v - avg(v) over (partition by channel)) / stddev_samp(v) over (partition by channel) as z from t),
+  d as (select *, lag(z) over (partition by channel order by place) as a, lead(z) over (partition by channel order by place) as b from s)
+  select channel, place as peak, greatest(place - 30, 0) as begin_, least(place + 29, n - 1) as end_ from d where z >= 3 and z > coalesce(a, '-infinity') and z >= coalesce(b, '-infinity')""")
+def channel_windows(spark, sf_dir):
+    """Windows of 60 samples around the peaks of each channel's own samples, cut at the channel's ends."""
+    samples = V.trains(spark, sf_dir).select("event_id", F.col("wire").alias("channel"), "ts_us", F.col("amplitude").alias("v"))
+    stats = samples.groupBy("channel").agg(F.avg("v").alias("m"), F.stddev("v").alias("s"), F.count("*").alias("n"))
+    placed = selection.numbered(samples, ["channel"], ["ts_us", "event_id"], steps.Stages(spark)).join(stats, "channel")
+    z = selection.with_neighbours(placed.withColumn("z", (F.col("v") - F.col("m")) / F.col("s")), ["channel"], ["place"], before={"a": "z"}, after={"b": "z"})
+    low = F.lit(float("-inf"))
+    hit = z.where((F.col("z") >= 3) & (F.col("z") > F.coalesce("a", low)) & (F.col("z") >= F.coalesce("b", low)))
+    return hit.select("channel", F.col("place").alias("peak"), F.greatest(F.col("place") - 30, F.lit(0)).alias("begin_"), F.least(F.col("place") + 29, F.col("n") - 1).alias("end_"))

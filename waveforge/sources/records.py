@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import selection
+
 ADMAX = 32767  # counts of a full-scale sample where the header names none
 BITVOLTS = 6e-9  # volts a count where neither the header nor an input range gives them
 MAX_RATE_HZ, MAX_SPIKES = 250.0, 400_000
@@ -99,14 +101,14 @@ def label_columns(matrix: DataFrame, columns: list[str], position: str) -> DataF
 
     All values must be 0 or more.  Cluster numbers are constant or have neighbouring values 1 apart (of several
     such columns the one of the largest maximum); the times are the first other column that never falls.
-    Neighbouring values and rows meet by equi-joins, so no column is sorted in one task.
+    Neighbouring values meet by an equi-join and neighbouring rows by range, whether or not positions have gaps; a column may be of any length.
     """
     long = matrix.select(position, F.inline(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))))
     key = ["at", "column"]
     stats = long.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max((F.col("v") != F.floor("v")).cast("int")).alias("broken"))
     values = long.select(*key, "v").distinct()
     steps = values.join(values.select(*key, (F.col("v") - 1).alias("v")), [*key, "v"], "left_semi").groupBy(*key).agg(F.lit(True).alias("one_apart"))
-    falls = long.join(long.select((F.col(position) - 1).alias(position), *key, F.col("v").alias("after")), [position, *key]).where("after < v").select(*key).distinct().withColumn("falls", F.lit(True))
+    falls = selection.with_neighbours(long, key, [position], before={"_before": "v"}).where(F.col("_before") > F.col("v")).select(*key).distinct().withColumn("falls", F.lit(True))
     all_ = stats.join(steps, key, "left").join(falls, key, "left").where("lo >= 0")
     number = (F.col("lo") == F.col("hi")) | ((F.col("broken") == 0) & F.coalesce("one_apart", F.lit(False)))
     cluster = all_.where(number).agg(F.max_by("at", F.struct("hi", (-F.col("at")).alias("first"))).alias("cluster"))
