@@ -87,3 +87,10 @@ def test_samples_do_not_depend_on_partitions(spark, frame):
     assert len(draws) == 50 * len(GROUPS) and {d for g, _, d in draws if g == 4} == {0}
     other = {(x["g"], x["item"]) for x in selection.sampled(frame, ["g"], "item", 30, seed=6).collect()}
     assert other != got
+
+
+def test_neighbours_of_rows_that_have_a_place_already(frame, way):
+    named = frame.select("g", F.col("item").alias("place"), "v", F.lit(1).alias("chunk"), F.lit("x").alias("own"))
+    got = selection.with_neighbours(named, ["g"], ["place"], before={"b": "place"})
+    assert got.columns == ["g", "place", "v", "chunk", "own", "b"]
+    assert all(x["b"] == (x["place"] - 1 if x["place"] else None) for x in got.collect()) and got.count() == frame.count()

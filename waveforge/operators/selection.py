@@ -92,8 +92,8 @@ def lowest(rows: DataFrame, keys: list[str], value: str, tie: str, many: Column)
     return chosen.where((F.col(value) < F.col("end")) | ((F.col(value) == F.col("end")) & (F.col(tie) <= F.col("last")))).drop("end", "last")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], stages: Stages) -> DataFrame:
-    """``rows`` with ``place``, the rank (from 0) within their group: positions after one range partitioning, and a prefix sum over a row a group and partition."""
+def numbered(rows: DataFrame, keys: list[str], order: list[str], stages: Stages, name: str = "place") -> DataFrame:
+    """``rows`` with ``name``, the rank (from 0) within their group: positions after one range partitioning, and a prefix sum over a row a group and partition."""
     rows = stages(rows, "unordered")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
@@ -101,7 +101,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], stages: Stages)
     runs = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_many"))
     shift = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_many") - F.col("_low")
     shifts = small(stages(runs.select(*keys, "_part", shift.alias("_shift")), "shifts"))
-    return placed.join(shifts, [*keys, "_part"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    return placed.join(shifts, [*keys, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def with_neighbours(rows: DataFrame, keys: list[str], order: list[str], before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
@@ -114,12 +114,12 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: list[str], before:
         near = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumns({new: F.lag(old).over(near) for new, old in before.items()} | {new: F.lead(old).over(near) for new, old in after.items()})
     stages = Stages(rows.sparkSession)
-    placed = numbered(rows, keys, order, stages).withColumn("_chunk", F.floor(F.col("place") / CHUNK))
-    sides = F.array(F.struct(F.col("_chunk").alias("chunk"), F.lit(True).alias("own")), *(F.struct(F.when(F.floor((F.col("place") + d) / CHUNK) != F.col("_chunk"), F.col("_chunk") + d).alias("chunk"), F.lit(False).alias("own")) for d in (1, -1)))
-    sent = placed.select(*rows.columns, "place", F.inline(F.filter(sides, lambda x: x["chunk"].isNotNull())))
-    near = Window.partitionBy(*keys, "chunk").orderBy("place")
+    placed = numbered(rows, keys, order, stages, "_place").withColumn("_run", F.floor(F.col("_place") / CHUNK))
+    sides = F.array(F.struct(F.col("_run").alias("_chunk"), F.lit(True).alias("_own")), *(F.struct(F.when(F.floor((F.col("_place") + d) / CHUNK) != F.col("_run"), F.col("_run") + d).alias("_chunk"), F.lit(False).alias("_own")) for d in (1, -1)))
+    sent = placed.select(*rows.columns, "_place", F.inline(F.filter(sides, lambda x: x["_chunk"].isNotNull())))
+    near = Window.partitionBy(*keys, "_chunk").orderBy("_place")
     out = sent.withColumns({new: F.lag(old).over(near) for new, old in before.items()} | {new: F.lead(old).over(near) for new, old in after.items()})
-    return out.where("own").drop("place", "chunk", "own")
+    return out.where("_own").drop("_place", "_chunk", "_own")
 
 
 def sampled(rows: DataFrame, keys: list[str], item: str, most: int, seed: int = 0, salts: int = 64) -> DataFrame:
