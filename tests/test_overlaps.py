@@ -121,3 +121,15 @@ def test_few_other_items(spark, clusters):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "rec string, cluster int, item int, x0 double")
     assert overlaps.settled(frame, ["rec"], "cluster", "item", ["x0"]).count() == 0
+
+
+def test_two_other_items_in_two_dimensions_make_neither_nearer(spark):
+    """Their covariance is singular but for rounding, which must not choose the winner: without a vote it is the second cluster."""
+    r = np.random.default_rng(8)
+    rows = []
+    for t in range(40):
+        x = np.round(r.uniform([1, 1], [50, 100], (62, 2)), 3)
+        rows += [(t, "A", i, *map(float, x[i])) for i in range(60)] + [(t, "N", i, *map(float, x[i])) for i in range(30, 62)]
+    frame = spark.createDataFrame(rows, "t int, c string, item long, p1 double, p2 double")
+    got = overlaps.settled(frame, ["t"], "c", "item", ["p1", "p2"]).select("t", "c").distinct().collect()
+    assert sorted(map(tuple, got)) == [(t, "N") for t in range(40)]

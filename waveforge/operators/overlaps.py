@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from . import geometry
 from .steps import Stages, small
 
+#: What must be left of a dimension's variance beside the dimensions before it; less is the rounding of a singular distribution.
+SINGULAR = 1e-10
+
 
 def components(edges: DataFrame, by: list[str], stages: Stages) -> DataFrame:
     """``by, key, component`` of the clusters in ``edges`` (``by, a, b``): the smallest cluster that each one is linked to, by rounds over the table of clusters."""
@@ -90,6 +93,7 @@ def _wave(rows: DataFrame, wave: int, ranked: DataFrame, by: list[str], key: str
     fit = stats.join(rates, pair)
     for s in "ab":
         fit = geometry.factored(fit, dims, _scaled(s), f"{s}f_")
+        fit = fit.withColumns({f"{s}f_d_{j}": F.when(F.col(f"{s}f_d_{j}") > SINGULAR * _scaled(s)(d, d), F.col(f"{s}f_d_{j}")) for j, d in enumerate(dims)})
     fit = small(stages(fit, "fits"))
     degrees = geometry.total([F.col(f"use_{d}").cast("int") for d in dims])
     enough = (F.col("own_a") >= degrees) & (F.col("own_b") >= degrees)
