@@ -200,6 +200,22 @@ def test_chains_find_every_passage_of_a_pair():
         assert all(0 < x[b] - x[a] <= 60 and 0 < y[b] - y[a] <= 60 for a, b in zip(chain, chain[1:]))
 
 
+def test_passage_whose_windows_all_stand_at_many_places_before_it():
+    r = np.random.default_rng(5)
+    lines = r.integers(1, 1 << 32, (8, 8), dtype=np.uint32)
+    junk = lambda n: r.integers(1, 1 << 32, n, dtype=np.uint32)
+    pairs = r.permutation(np.repeat(np.arange(7), 20))  # every two lines in a row, 20 times each
+    earlier = np.concatenate([x for i in pairs for x in (lines[i], lines[i + 1], junk(30))] + [lines.ravel(), junk(10)])
+    later = np.concatenate([junk(25), lines.ravel(), junk(25)])
+    at = len(earlier) - 74
+    assert len(substring_dedup.crowded(later, earlier, 5)) == 60
+    assert substring_dedup.pair_passages(later, earlier, 5, 40, 0.7) == [(25, 89, at, at + 64, 1.0)]
+    # the same places as a direct comparison of all windows gives, but for those inside runs
+    got = {(int(x), int(y)) for p, q in substring_dedup.all_matches(later, earlier, 5) for x, y in zip(p, q, strict=True)}
+    all_ = {(x, y) for x in range(len(later) - 4) for y in range(len(earlier) - 4) if (later[x : x + 5] == earlier[y : y + 5]).all()}
+    assert got == {(x, y) for x, y in all_ if x % substring_dedup.STEP == 0 or (x - 1, y - 1) not in all_ or (x + 1, y + 1) not in all_}
+
+
 def test_passages_of_frequent_lines_and_repeats(spark):
     # 40 and 41 alone share two lines in a row; every line is held by earlier documents and by one just before 41
     lines = [prose(30, 500 + i) for i in range(2)]
