@@ -64,10 +64,11 @@ def core_recursion_peaks(spark, sf_dir):
 
 def _described(spark, sf_dir):
     """The waveforms as one recording: peaks at the place most waves have theirs, and for the refinement these and the first components, as scores."""
-    waves = V.waveforms(spark, sf_dir).withColumn("recording", F.lit(0))
+    # written once: each of the many jobs after it would read all events again
+    waves = steps.written(V.waveforms(spark, sf_dir).withColumn("recording", F.lit(0)), "waves")
     made = features.spike_features(waves, "recording", "spike_id", ["w1", "w2"])
     values = made.select("recording", "spike_id", *(F.get("features", F.lit(i)).alias(f"f{i}") for i in range(4)), *(F.get("features", F.lit(i)).alias(f"p{i + 1}") for i in range(2)))
-    return waves, shapes.zscored(values, [f"f{i}" for i in range(4)])
+    return waves, steps.written(shapes.zscored(values, [f"f{i}" for i in range(4)]), "described")
 
 
 @query()
@@ -120,10 +121,10 @@ KINDS = ["click", "error", "purchase", "signup", "view"]  # event types in order
 
 def _sortings(spark, sf_dir):
     """Two sortings of the waveforms, by time: the labels as the automatic one, the types of their events as the manual one."""
-    rows = _xy(spark, sf_dir).withColumn("recording", F.lit(0))
+    rows = steps.written(_xy(spark, sf_dir).withColumn("recording", F.lit(0)), "rows")
     kinds = V.trains(spark, sf_dir).select(F.col("event_id").alias("spike_id"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("wire")).cast("int").alias("cluster"))
     auto = rows.select("recording", (F.col("ts_us") / 1e6).alias("ts_s"), (F.col("cluster_id") + 1).alias("cluster"))
-    manual = rows.join(kinds, "spike_id").select("recording", (F.col("ts_us") / 1e6).alias("ts_s"), "cluster")
+    manual = steps.written(rows.join(kinds, "spike_id").select("recording", (F.col("ts_us") / 1e6).alias("ts_s"), "cluster"), "manual")
     return rows, auto, manual
 
 
