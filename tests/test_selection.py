@@ -94,3 +94,11 @@ def test_neighbours_of_rows_that_have_a_place_already(frame, way):
     got = selection.with_neighbours(named, ["g"], ["place"], before={"b": "place"})
     assert got.columns == ["g", "place", "v", "chunk", "own", "b"]
     assert all(x["b"] == (x["place"] - 1 if x["place"] else None) for x in got.collect()) and got.count() == frame.count()
+
+
+def test_sample_is_dealt_by_the_number_of_rows(frame, monkeypatch):
+    monkeypatch.setattr(steps, "TASK_ROWS", 200)
+    many = frame.count()
+    assert steps.dealt(frame, many, "g").rdd.getNumPartitions() == -(-many // 200)
+    want = sorted(map(tuple, selection.sampled(frame, ["g"], "item", 5).select("g", "item").collect()))
+    assert sorted(map(tuple, selection.sampled(frame, ["g"], "item", 5, many=many).select("g", "item").collect())) == want

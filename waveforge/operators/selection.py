@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import Stages, small
+from .steps import Stages, dealt, small
 
 DIRECT = 200_000
 BINS = 1024
@@ -122,13 +122,13 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: list[str], before:
     return out.where("_own").drop("_place", "_chunk", "_own")
 
 
-def sampled(rows: DataFrame, keys: list[str], item: str, most: int, seed: int = 0, salts: int = 64) -> DataFrame:
+def sampled(rows: DataFrame, keys: list[str], item: str, most: int, seed: int = 0, salts: int = 64, many: int = 0) -> DataFrame:
     """Up to ``most`` rows of each group, without replacement: those of the smallest hashes of ``item`` (with the seed), so the same ones whatever the partitions.
 
-    The smallest of parts of a group hold the smallest of the group: parts are cut first, by the hash itself, and no task gets more than ``salts * most`` rows of a group.
+    The smallest of parts of a group hold the smallest of the group: parts are cut first, by the hash itself, and no task gets more than ``salts * most`` rows of a group.  Of ``many`` rows in all a task sorts ``TASK_ROWS``.
     """
-    lot = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")), 256)
-    marked = rows.withColumns({"_lot": lot, "_salt": F.pmod(F.xxhash64(item), F.lit(salts))})
+    lot = F.unhex(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string")), 256))  # bytes sort as their digits do
+    marked = dealt(rows.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts))), many, *keys, "_salt").withColumn("_lot", lot)
     part = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("_lot", item))).where(F.col("_rank") <= most)
     return part.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_lot", item))).where(F.col("_rank") <= most).drop("_lot", "_salt", "_rank")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}  # application id -> folder, only where one process is the whole session
 #: Rows of a table of clusters up to which it is broadcast; larger ones are shuffled to.
 BROADCAST_ROWS = 50_000
+#: Rows that a task is dealt at most, so that its memory doesn't grow with the input.
+TASK_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +32,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, many: int, *keys: str) -> DataFrame:
+    """``rows`` by their keys, in as many partitions as ``many`` rows need, those of the session at least."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // TASK_ROWS))
+    return rows.repartition(parts, *keys)
+
+
 def small(table: DataFrame) -> DataFrame:
     """A written table, with the broadcast hint where it has few rows."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
