@@ -246,6 +246,21 @@ def test_passages_across_frequent_lines(spark, parts):
     assert found == {(300, 100)}
 
 
+@pytest.mark.parametrize("side", [4096, 2])
+def test_holders_of_a_seed_between_the_first_and_the_one_before(spark, side, monkeypatch):
+    """The passage's only seeds are a line's, which earlier and later documents have too; blocks of two classes find what one block does."""
+    monkeypatch.setattr(substring_dedup, "SIDE", side)
+    line = [f"line{i}" for i in range(10)]
+    words = lambda t, n: [f"{t}w{i}" for i in range(n)]
+    passage = [*words("p", 24), *line, *words("q", 24)]
+    edited = [w if i % 6 or 24 <= i < 34 else f"edit{i}" for i, w in enumerate(passage)]
+    texts = {i: [*words(f"a{i}", 60), *line, *words(f"b{i}", 60)] for i in range(1, 80)}
+    texts[2], texts[77] = [*words("a2", 30), *passage, *words("b2", 30)], [*words("a77", 30), *edited, *words("b77", 30)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    found = [(r["later"], r["earlier"], r["start"] <= 36, r["end"] >= 82) for r in substring_dedup.passages(frame).collect()]
+    assert found == [(77, 2, True, True)]
+
+
 def test_recall_of_edited_passages(spark):
     rows, rates, sizes = [], (0.05, 0.10, 0.15, 0.25), (50, 75, 100)
     for i in range(240):
