@@ -108,3 +108,10 @@ def test_fuzzy_clustering_equals_numpy_with_six_groups(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_xy", lambda spark, sf_dir: frame)
     got = {r["spike_id"]: r["cluster"] for r in catalogue.QUERIES["fcm_cluster"](spark, SF).collect()}
     assert len(best[0]) == 6 and [got[i] for i in range(len(points))] == want
+
+
+def test_transform_features_shuffles_no_row_a_dimension(spark):
+    """Tasks are dealt by the number of rows, and rows become one for each dimension only where they are."""
+    got = catalogue.QUERIES["transform_features"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "dim#" in x.split("hashpartitioning")[1]]
