@@ -115,3 +115,9 @@ def test_transform_features_shuffles_no_row_a_dimension(spark):
     got = catalogue.QUERIES["transform_features"](spark, "/root/testdata/sf0.001")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "dim#" in x.split("hashpartitioning")[1]]
+
+
+def test_nearby_unsorted_reads_its_table_once(spark):
+    """Sizes, limits and distances come from written tables; none of them reads the lineitems again."""
+    found = catalogue.QUERIES["nearby_unsorted"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "lineitem" in f]

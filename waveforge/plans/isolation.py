@@ -111,11 +111,12 @@ def unsorted_grades(spark, sf_dir):
   select own.tetrode, own.cluster_id, coalesce(nm.n, 0) as n_near, case when coalesce(nm.n, 0) > 0.2 * size then round(bhat, 6) else 'infinity'::double end as bhat_near
   from own left join nm using (tetrode, cluster_id) left join bh on bh.tetrode = own.tetrode and bh.cluster_id = own.cluster_id where own.cluster_id <> 'NO'""")
 def nearby_unsorted(spark, sf_dir):
-    rows, key = _big(spark, sf_dir), ["tetrode", "cluster_id"]
-    table = moments.moments(rows, key, DIMS)
+    # written once: rows, fits and distances are each read several times below
+    rows, key = steps.written(_big(spark, sf_dir), "big"), ["tetrode", "cluster_id"]
+    table = steps.written(moments.moments(rows, key, DIMS), "moments")
     fit = geometry.factored(table, DIMS)
-    far = rows.where("cluster_id <> 'NO'").join(fit, key).withColumn("d", geometry.mahalanobis(DIMS)).select(*key, "d")
-    own = far.groupBy(*key).agg(F.count("*").alias("size")).join(selection.limits(far, key, "d", 5.0), key)
+    far = steps.written(rows.where("cluster_id <> 'NO'").join(fit, key).withColumn("d", geometry.mahalanobis(DIMS)).select(*key, "d"), "distances")
+    own = steps.written(far.groupBy(*key).agg(F.count("*").alias("size")).join(selection.limits(far, key, "d", 5.0), key), "own")
     loose = rows.where("cluster_id = 'NO'").drop("cluster_id")
     near = loose.join(fit.join(own, key), "tetrode").where(geometry.mahalanobis(DIMS) < F.col("limit")).select(*key, *DIMS)
     found = moments.moments(near, key, DIMS)
