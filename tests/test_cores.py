@@ -165,3 +165,26 @@ def test_empty_table(spark):
     made = lambda members, group: members.join(frame, ["rec", "item"]).select(group, "item", "x")
     assert cores.core_loop(frame.select("rec", "item"), ["rec"], "item", made, n_dims=3).count() == 0
     assert cores.fit_groups(frame, ["rec"], "item", 3, 3, steps.Stages(spark)).where(F.col("k") > 0).count() == 0
+
+
+def test_redundant_dimensions_of_small_groups_are_left_out_in_their_tasks(spark, monkeypatch):
+    stages = steps.Stages(spark)
+    frame = stages(frame_of(spark, {k: RECORDINGS[k] for k in ("copy", "three", "equal", "one")}), "rows")
+    monkeypatch.setattr(cores, "by_dimension", lambda *a: pytest.fail("rows of small groups were dealt out by dimension"))
+    got = {r["rec"]: r for r in cores.core_fits(frame, ["rec"], "item", 3, 6, stages, drop_redundant=True).collect()}
+    assert got.keys() == {"copy", "three", "equal", "one"}
+    for name, r in got.items():
+        x = RECORDINGS[name]
+        fits = [naive_best(x[:, d : d + 1], 4) for d in range(3)]
+        weights = naive_redundant(x, fits, [(k - 1) ** 2 if mpc >= 0.75 else 0 for k, mpc, _ in fits])
+        assert r["weights"] == weights and r["k"] == ((naive_best(x * np.array(weights), 6)[0]) if any(weights) else 1), name
+    assert got["copy"]["weights"].count(0.0) == 2
+
+
+def test_values_of_one_dimension_are_fitted_as_their_rows():
+    r = np.random.default_rng(3)
+    for x in (r.integers(0, 9, 400), np.repeat([0, 1], [30, 3]), r.normal(0, 1, 200), np.concatenate([r.normal(0, 1, 90), r.normal(20, 1, 60)])):
+        x = x.astype(float)[:, None]
+        centers, valid = cores.best_centers(x, 4)
+        k, mpc, _ = naive_best(x, 4)
+        assert len(centers) == k and valid == pytest.approx(mpc, abs=1e-9)

@@ -3,7 +3,7 @@
 A level of the recursion is one grouped fit over all clusters that are still open, in all recordings.  A group of up to
 ``LOCAL_ROWS`` rows (a recording of the usual size) is fitted in one task, in NumPy.  A larger one is fitted step by step
 over all of its rows: its centres are a row of a table that the rows are joined with, a step is a sum by group and centre that every task adds up for itself first,
-and the state is written after each step.  Both give the same partition.
+and the state is written after each step.  Both give the same partition.  In a task the values of a single dimension are fitted once each, with the number of rows that have them.
 
 The features of a row are an array of doubles, in the same order in all rows of a group.
 """
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,8 @@ def best_centers(x: np.ndarray, k_max: int, max_iter: int = MAX_ITER) -> tuple[n
     best = (centers, 0.0)
     if (x == x[0]).all():
         return best
+    if x.shape[1] == 1:
+        return _best_of_values(x[:, 0], centers[0], k_max, max_iter)
     for k in range(2, k_max + 1):
         near = x[_distances(x, centers).sum(axis=1).argmin()]
         centers, coefficient = fit_centers(x, np.vstack([centers, near + EPSILON]), max_iter)
@@ -82,12 +85,81 @@ def best_centers(x: np.ndarray, k_max: int, max_iter: int = MAX_ITER) -> tuple[n
     return best
 
 
-def core_partition(x: np.ndarray, k_max: int, k_weight: int, least_validity: float) -> tuple[int, float, list, list]:
+def _shares(d2: np.ndarray) -> np.ndarray:
+    """:func:`degrees` with a row a centre."""
+    u = 1 / d2
+    u /= u.sum(axis=0)
+    if not d2.all():
+        on = d2 == 0
+        at = on.any(axis=0)
+        u[:, at] = on[:, at] / on[:, at].sum(axis=0)
+    return u
+
+
+def _best_of_values(x: np.ndarray, centers: np.ndarray, k_max: int, max_iter: int) -> tuple[np.ndarray, float]:
+    """:func:`best_centers` of one dimension: each value once, in the order of their first rows."""
+    values, first, n = np.unique(x, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    values, n = values[order], n[order].astype(float)
+    best = (centers[:, None], 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(2, k_max + 1):
+            away = values - centers[:, None]
+            centers = np.append(centers, values[(away * away).sum(axis=0).argmin()] + EPSILON)
+            before = None
+            for _ in range(max_iter):
+                away = values - centers[:, None]
+                d2 = away * away
+                u2 = _shares(d2)
+                u2 *= u2
+                u2 *= n
+                mass = u2.sum(axis=1)
+                new = np.where(mass > 0, u2 @ values / mass, centers)
+                objective = np.vdot(u2, d2) - np.dot(mass, (new - centers) ** 2)
+                centers = new
+                if before is not None and abs(objective - before) < EPSILON:
+                    break
+                before = objective
+            away = values - centers[:, None]
+            u = _shares(away * away)
+            if (got := validity(float((u * u @ n).sum() / len(x)), k)) > best[1]:
+                best = (centers[:, None], got)
+    return best
+
+
+def _repeated(x: np.ndarray, fits: list[tuple[np.ndarray, float]], least_overlap: float = 0.9) -> set[int]:
+    """What :func:`redundant` finds in one group; ``fits``: centres and validity of each dimension, one centre where it doesn't divide."""
+    dims = [d for d, (centers, _) in enumerate(fits) if len(centers) > 1]
+    held = {}
+    for d in dims:
+        d2 = _distances(x[:, d : d + 1], fits[d][0])
+        held[d] = (d2 == d2.min(axis=1, keepdims=True)).astype(float)
+    gone: set[int] = set()
+    for d in sorted(dims, key=lambda d: (len(fits[d][0]), d)):
+        if d in gone:
+            continue
+        for e in dims:
+            if e <= d or len(fits[e][0]) != len(fits[d][0]):
+                continue
+            common, own, theirs = held[d].T @ held[e], held[d].sum(axis=0), held[e].sum(axis=0)
+            if not theirs.all():  # a cluster without a row fits into none
+                continue
+            of_first = (common / np.where(own > 0, own, 1)[:, None]).max(axis=0)
+            if min(of_first.min(), (common / theirs).max(axis=0).min()) <= least_overlap:
+                continue
+            if fits[d][1] < fits[e][1]:
+                gone.add(d)
+                break
+            gone.add(e)
+    return gone
+
+
+def core_partition(x: np.ndarray, k_max: int, k_weight: int, least_validity: float, drop_redundant: bool = False) -> tuple[int, float, list, list]:
     """``k, validity, weights, centers``: a dimension that divides into k clusters by itself weighs (k - 1)^2; without one the rows are one cluster (k = 1); k = 0 where the weighted rows have no valid partition."""
-    weights = np.zeros(x.shape[1])
-    for d in range(x.shape[1]):
-        centers, valid = best_centers(x[:, d : d + 1], k_weight)
-        weights[d] = (len(centers) - 1) ** 2 if valid >= least_validity else 0
+    fits = [best_centers(x[:, d : d + 1], k_weight) for d in range(x.shape[1])]
+    fits = [(centers, valid) if valid >= least_validity else (centers[:1], 0.0) for centers, valid in fits]
+    gone = _repeated(x, fits) if drop_redundant else set()
+    weights = np.array([0.0 if d in gone else (len(centers) - 1.0) ** 2 for d, (centers, _) in enumerate(fits)])
     if not weights.any():
         return 1, 0.0, weights.tolist(), []
     centers, valid = best_centers(x * weights, k_max)
@@ -160,12 +232,15 @@ def _by_size(rows: DataFrame, keys: list[str], least: int, stages: Stages) -> tu
 
 def _in_tasks(rows: DataFrame, keys: list[str], item: str, fit: Callable[[np.ndarray], tuple]) -> DataFrame:
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    centers = pa.list_(pa.list_(pa.float64()))
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.sort_values(item)["x"].to_numpy())
-        return pd.DataFrame([[*key, *fit(x)]], columns=[*keys, "k", "validity", "weights", "centers"])
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        x = group.sort_by(item)["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        k, valid, weights, found = fit(x)
+        columns = [*(pa.array([v.as_py()], v.type) for v in key), pa.array([k], pa.int32()), pa.array([valid], pa.float64()), pa.array([weights], pa.list_(pa.float64())), pa.array([found], centers)]
+        return pa.table(columns, names=[*keys, "k", "validity", "weights", "centers"])
 
-    return rows.select(*keys, item, "x").groupBy(*keys).applyInPandas(one, f"{kinds}, {FIT}")
+    return rows.select(*keys, item, "x").groupBy(*keys).applyInArrow(one, f"{kinds}, {FIT}")
 
 
 def fit_groups(rows: DataFrame, keys: list[str], item: str, k_max: int, n_dims: int, stages: Stages, max_iter: int = MAX_ITER) -> DataFrame:
@@ -222,11 +297,9 @@ def core_fits(rows: DataFrame, keys: list[str], item: str, n_dims: int, k_max: i
     """``keys, k, weights, centers`` of :func:`core_partition` for each group of ``least`` rows or more; ``rows`` (``keys, item, x``) are written."""
     near, far, any_far = _by_size(rows, keys, least, stages)
     columns = [*keys, "k", "weights", "centers"]
-    local = _in_tasks(near, keys, item, lambda x: core_partition(x, k_max, k_weight, least_validity)).select(*columns)
-    if not any_far and not drop_redundant:
+    local = _in_tasks(near, keys, item, lambda x: core_partition(x, k_max, k_weight, least_validity, drop_redundant)).select(*columns)
+    if not any_far:
         return local
-    if drop_redundant:
-        far = near.unionByName(far)
     far = stages(far, "large")
     long = stages(by_dimension(far, keys, item), "dimensions")
     alone = stages(fit_groups(long, [*keys, "dim"], item, k_weight, 1, stages), "dimension_fits")
@@ -242,7 +315,7 @@ def core_fits(rows: DataFrame, keys: list[str], item: str, n_dims: int, k_max: i
     scaled = stages(far.join(small(weights.where("any").drop("any")), keys).select(*keys, item, F.zip_with("x", "weights", lambda v, w: v * w).alias("x")), "weighted")
     fits = fit_groups(scaled, keys, item, k_max, n_dims, stages).join(weights, keys).select(*keys, F.when(F.col("k") > 1, F.col("k")).otherwise(0).alias("k"), "weights", "centers")
     whole = weights.where("not any").select(*keys, F.lit(1).alias("k"), "weights", F.array().cast("array<array<double>>").alias("centers"))
-    return fits.union(whole) if drop_redundant else local.union(fits).union(whole)
+    return local.union(fits).union(whole)
 
 
 def assigned(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,6 +55,7 @@ def core_recursion(spark, sf_dir):
 def core_recursion_peaks(spark, sf_dir):
     """The recursion over the peaks of all recordings, with redundant dimensions left out."""
     peaks = V.peaks(spark, sf_dir).groupBy("tetrode", "item").agg(F.min(F.struct("p1", "p2", "p3", "p4")).alias("x")).select("tetrode", "item", F.array("x.p1", "x.p2", "x.p3", "x.p4").alias("x"))
+    peaks = steps.written(peaks, "peaks")  # read again at each level
     made = lambda members, group: members.join(peaks, ["tetrode", "item"]).select(group, "item", "x")
     return cores.core_loop(peaks.select("tetrode", "item"), ["tetrode"], "item", made, n_dims=4, drop_redundant=True)
 
