@@ -261,6 +261,46 @@ def test_holders_of_a_seed_between_the_first_and_the_one_before(spark, side, mon
     assert found == [(77, 2, True, True)]
 
 
+def unlike(n, seed):
+    """``n`` words that no other seed has."""
+    return [f"w{seed}x{i}" for i in range(n)]
+
+
+@pytest.fixture
+def further(monkeypatch):
+    """The pairs that are matched, a list for each time."""
+    asked, matched = [], substring_dedup._matched
+
+    def counted(pairs, *rest):
+        asked.append([tuple(r) for r in pairs.select("later", "earlier").collect()])
+        return matched(pairs, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_matched", counted)
+    return asked
+
+
+def test_documents_that_only_share_a_line_are_not_matched_pair_by_pair(spark, further):
+    """The line is too short for a passage, but long enough for the word pairs of one: 780 pairs."""
+    line = unlike(20, "line")
+    rows = [(i, " ".join(unlike(60, 2 * i) + line + unlike(60, 2 * i + 1))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_dedup.passages(frame).count() == 0
+    assert sum(map(len, further[1:])) == 0
+
+
+def test_a_line_far_from_a_run_that_has_a_source_already(spark, further):
+    """Documents 20 and 40 have a line, 50 other words and a run of 120: one passage, though frequent seeds nominate neither for the other."""
+    line, run = unlike(16, "line"), unlike(120, "run")
+    texts = {i: unlike(70, f"a{i}") + run + unlike(70, f"b{i}") for i in range(1, 60, 2)}
+    texts |= {i: unlike(70, f"a{i}") + line + unlike(70, f"b{i}") for i in range(0, 60, 2)}
+    texts |= {i: unlike(70, f"a{i}") + line + unlike(50, f"c{i}") + run + unlike(70, f"b{i}") for i in (20, 40)}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = substring_dedup.passages(frame).where("later = 40").collect()
+    assert (40, 20) not in further[0]
+    assert (40, 20) in {(r["later"], r["earlier"]) for r in found if r["start"] <= 70 and r["end"] >= 70 + 16 + 50 + 120}
+    assert sum(map(len, further[1:])) <= 60
+
+
 def test_recall_of_edited_passages(spark):
     rows, rates, sizes = [], (0.05, 0.10, 0.15, 0.25), (50, 75, 100)
     for i in range(240):
